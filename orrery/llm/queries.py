@@ -1,6 +1,18 @@
 """Queries and DuckDB twins of the training-data operators."""
 
-from orrery.llm import mixing, sharding
+from orrery.llm import chat, decontam, mixing, quality, sharding
 
-QUERIES = {"op3_mixing": mixing.op3_mixing, "op7_sharding": sharding.op7_sharding}
-ORACLES = {"op3_mixing": mixing.OP3_SQL, "op7_sharding": sharding.OP7_SQL}
+QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_quality": quality.op4_quality,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_decontamination": decontam.op9_decontamination,
+}
+ORACLES = {
+    "op3_mixing": mixing.OP3_SQL,
+    "op4_quality": quality.OP4_SQL,
+    "op7_sharding": sharding.OP7_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
+    "op9_decontamination": decontam.OP9_SQL,
+}
