@@ -15,16 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Largest share of characters inside repeated n-grams (the first
-#: occurrence not counted), by n.
-MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of characters in repeated lines, and of lines that are repeated.
-MAX_LINE_CHARS, MAX_LINES = 0.20, 0.30
+#: Largest share of characters inside repeated n-grams (the first occurrence not
+#: counted), by n. One repeated line in a short text stays below it.
+MAX_NGRAM_SHARE = dict.fromkeys(range(5, 11), 0.20)
+#: Largest share of characters in repeated lines. (Their count is no criterion: one
+#: short repeated line of three says little about a text.)
+MAX_LINE_CHARS = 0.30
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, dup_line_chars long, n_lines long, dup_ngram_share array<double>, kept boolean"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, dup_line_chars long, dup_ngram_share array<double>, kept boolean"
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,10 +64,9 @@ def measure(text: str | None) -> tuple:
     word_chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
     seen: set[bytes] = set()
-    n_lines = dup_lines = dup_chars = 0
+    dup_lines = dup_chars = 0
     for line in raw.split(b"\n"):
         if line.strip():
-            n_lines += 1
             if line in seen:
                 dup_lines += 1
                 dup_chars += len(line.decode("utf-8", "surrogatepass"))
@@ -94,8 +94,8 @@ def measure(text: str | None) -> tuple:
                             chars = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n)
                         shares[k] = float(chars[_covered(later, k, n)].sum()) / word_chars
     failed = n < MIN_WORDS or 100 * repeat_words > MAX_REPEAT_PERCENT * n
-    fine = all(shares[k] <= most for k, most in MAX_NGRAM_SHARE.items()) and dup_chars <= MAX_LINE_CHARS * len(text) and dup_lines <= MAX_LINES * n_lines
-    return n, word_chars, symbols, dup_lines, repeat_words, failed, dup_chars, n_lines, list(shares.values()), not failed and fine
+    fine = all(shares[k] <= most for k, most in MAX_NGRAM_SHARE.items()) and dup_chars <= MAX_LINE_CHARS * len(text)
+    return n, word_chars, symbols, dup_lines, repeat_words, failed, dup_chars, list(shares.values()), not failed and fine
 
 
 def _measured(texts: pd.Series) -> pd.DataFrame:
@@ -135,7 +135,7 @@ q_doc AS (SELECT *, row_number() OVER () AS rid, coalesce(regexp_extract_all(tex
 q_base AS (SELECT *, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
     coalesce(length(text) - length(translate(text, '{SYMBOLS}', '')), 0)::BIGINT AS n_symbols FROM q_doc),
 q_line AS (SELECT rid, l, count(*) AS c FROM (SELECT rid, unnest(ls) AS l FROM q_doc) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid, l),
-q_lines AS (SELECT rid, sum(c - 1)::BIGINT AS n_dup_lines, sum((c - 1) * length(l))::BIGINT AS dup_chars, sum(c)::BIGINT AS n_lines FROM q_line GROUP BY rid),
+q_lines AS (SELECT rid, sum(c - 1)::BIGINT AS n_dup_lines, sum((c - 1) * length(l))::BIGINT AS dup_chars FROM q_line GROUP BY rid),
 q_gram AS (SELECT rid, n, i, list_slice(ws, i, i + n - 1) AS g FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM q_doc, (SELECT unnest([{lengths}]) AS n))),
 q_dup AS (SELECT *, count(*) OVER p AS c, min(i) OVER p AS first FROM q_gram WINDOW p AS (PARTITION BY rid, n, g)),
 q_pos AS (SELECT DISTINCT rid, n, i + unnest(range(0, n)) AS p, first < i AS later FROM q_dup WHERE c > 1),
@@ -143,9 +143,9 @@ q_rep AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_repeat_words FROM q_pos WHE
 q_share AS (SELECT rid, n, sum(length(ws[p]))::DOUBLE / any_value(word_chars) AS share FROM (SELECT DISTINCT rid, n, p FROM q_pos WHERE later) JOIN q_base USING (rid) GROUP BY rid, n),
 q_bad AS (SELECT DISTINCT rid, true AS bad FROM q_share WHERE {most}),
 q_all AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(bad, false) AS bad,
-    coalesce(dup_chars, 0) AS dup_chars, coalesce(n_lines, 0) AS n_lines FROM q_base b LEFT JOIN q_lines USING (rid) LEFT JOIN q_rep USING (rid) LEFT JOIN q_bad USING (rid)),
-q_rows AS (SELECT * EXCLUDE (rid, ws, ls, bad, dup_chars, n_lines), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-    NOT base_failed AND NOT bad AND dup_chars <= {MAX_LINE_CHARS}::DOUBLE * coalesce(length(text), 0) AND n_dup_lines <= {MAX_LINES}::DOUBLE * n_lines AS kept FROM q_all)"""
+    coalesce(dup_chars, 0) AS dup_chars FROM q_base b LEFT JOIN q_lines USING (rid) LEFT JOIN q_rep USING (rid) LEFT JOIN q_bad USING (rid)),
+q_rows AS (SELECT * EXCLUDE (rid, ws, ls, bad, dup_chars), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    NOT base_failed AND NOT bad AND dup_chars <= {MAX_LINE_CHARS}::DOUBLE * coalesce(length(text), 0) AS kept FROM q_all)"""
 
 
 OP4_SQL = f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q_rows"
