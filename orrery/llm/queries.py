@@ -1,15 +1,19 @@
 """Queries and DuckDB twins of the training-data operators."""
 
-from orrery.llm import chat, decontam, mixing, quality, sharding
+from orrery.llm import chat, decontam, mixing, quality, sharding, substring, tokens, toxicity
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
+    "op2_line_dedup": substring.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_decontamination": decontam.op9_decontamination,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op2_line_dedup": substring.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_quality": quality.OP4_SQL,
     "op7_sharding": sharding.OP7_SQL,
