@@ -1,5 +1,6 @@
 """Queries and DuckDB twins of the training-data operators."""
 
+import corpus_pipeline
 from orrery.llm import chat, decontam, html, jaccard, mixing, quality, sharding, substring, tokens, toxicity
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_line_dedup": substring.OP2_SQL,
@@ -23,3 +25,5 @@ ORACLES = {
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_decontamination": decontam.OP9_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
