@@ -1 +1 @@
-
+"""Scalar functions as Column expressions; none of them leaves the JVM."""
