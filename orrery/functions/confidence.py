@@ -68,5 +68,5 @@ def insight_score(strength: float, members: list[Column], factors: dict[str, Col
 
 
 def sentence(value: Column, parts: Column) -> Column:
-    head = F.concat(band_label(value), F.lit(" ("), F.format_number(value, "0.00"), F.lit(")"))
+    head = F.concat(band_label(value), F.lit(" ("), F.call_function("format_number", value, F.lit("0.00")), F.lit(")"))
     return F.when(F.size(parts) > 0, F.concat(head, F.lit(": "), F.array_join(parts, "; "))).otherwise(head)

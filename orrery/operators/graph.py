@@ -98,7 +98,7 @@ def closure(evidence: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
     level = roots.select(F.col("node").alias("root"), F.col("node").alias("support")).distinct().withColumn("depth", F.lit(0))
     seen = level = materialise(level)
     for d in range(1, depth + 1):
-        step = level.join(links, F.col("support") == F.col("supports")).select("root", links["support"].alias("support")).distinct()
+        step = level.select("root", F.col("support").alias("supports")).join(links, "supports").select("root", "support").distinct()
         level = materialise(step.join(seen.select("root", "support"), ["root", "support"], "left_anti").withColumn("depth", F.lit(d)))
         if not level.limit(1).count():
             break
