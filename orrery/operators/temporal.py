@@ -54,6 +54,12 @@ def sessions(events: DataFrame, key: list[str], at: str, gap: int, ident: str) -
     return events.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_opens")
 
 
+def _rounded(c: Column, digits: int) -> Column:
+    """Rounded half up, towards the greater number."""
+    scale = float(10**digits)
+    return F.floor(c * scale + 0.5) / scale
+
+
 def significance(points: DataFrame, key: list[str], order: list[str], deff: float = 2.0) -> DataFrame:
     """Adds delta, threshold and verdict of each point against the one before it in its series.
 
@@ -64,15 +70,15 @@ def significance(points: DataFrame, key: list[str], order: list[str], deff: floa
     se = F.when(F.coalesce("n", F.lit(0)) > 0, 100 * F.sqrt(share * (1 - share) / F.col("n")))
     w = Window.partitionBy(*key).orderBy(*order)
     df = points.withColumn("se", se).withColumns({"_v": F.lag("value").over(w), "_se": F.lag("se").over(w)})
-    delta = F.round(F.col("value") - F.col("_v"), 1)
-    threshold = F.round(F.lit(2 * deff**0.5) * F.sqrt(F.col("_se") * F.col("_se") + F.col("se") * F.col("se")), 1)
+    delta = _rounded(F.col("value") - F.col("_v"), 1)
+    threshold = _rounded(F.lit(2 * deff**0.5) * F.sqrt(F.col("_se") * F.col("_se") + F.col("se") * F.col("se")), 1)
     verdict = F.when(delta.isNull() | threshold.isNull(), "none").when(F.abs(delta) > threshold, F.when(delta > 0, "up").otherwise("down")).otherwise("stable")
-    return df.withColumns({"delta": delta, "threshold": threshold, "verdict": verdict, "margin": F.round(1.96 * deff**0.5 * F.col("se"), 1)}).drop("_v", "_se")
+    return df.withColumns({"delta": delta, "threshold": threshold, "verdict": verdict, "margin": _rounded(1.96 * deff**0.5 * F.col("se"), 1)}).drop("_v", "_se")
 
 
 def official_change(points: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Adds delta and verdict (change, stable, none) of series without sampling error."""
-    delta = F.round(F.col("value") - F.lag("value").over(Window.partitionBy(*key).orderBy(*order)), 4)
+    delta = _rounded(F.col("value") - F.lag("value").over(Window.partitionBy(*key).orderBy(*order)), 4)
     return points.withColumn("delta", delta).withColumn("verdict", F.when(delta.isNull(), "none").when(delta == 0, "stable").otherwise("change"))
 
 

@@ -63,26 +63,18 @@ def tenure_state(spark, sf):
     return TM.tenures(terms).select("office", "person", "state", "outcome")
 
 
-_POINTS = "p AS (SELECT user_id, event_type, day, round(avg(value) * 3, 2) AS value, count(*) * 200 AS n FROM (SELECT *, epoch_us(ts) // 1000 // 604800000 AS day FROM events) GROUP BY ALL)"
-
-
-def _points(spark, sf):
-    e = A.events(spark, sf).withColumn("day", F.floor(F.col("t_ms") / (7 * timefn.DAY)))
-    return e.groupBy("user_id", F.col("type").alias("event_type"), "day").agg(F.round(F.avg("value") * 3, 2).alias("value"), (F.count("*") * 200).alias("n"))
-
-
 _SE = "CASE WHEN n > 0 THEN 100 * sqrt(least(greatest(value / 100, 0.0::DOUBLE), 1.0::DOUBLE) * (1 - least(greatest(value / 100, 0.0::DOUBLE), 1.0::DOUBLE)) / n) END"
 
 
 @query("significance_change", f"""WITH p AS (SELECT event_type, epoch_us(ts) // 1000 // 86400000 AS day, floor(sum(value))::BIGINT % 9000 / 100.0::DOUBLE AS value, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT *, {_SE} AS se FROM p),
-l AS (SELECT *, round(value - lag(value) OVER w, 1) AS delta, round(2 * sqrt(2.0::DOUBLE) * sqrt(lag(se) OVER w * lag(se) OVER w + se * se), 1) AS threshold FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day))
-SELECT event_type, day, delta + 0.0::DOUBLE AS delta, CASE WHEN delta IS NULL OR threshold IS NULL THEN 'none' WHEN abs(delta) > threshold THEN CASE WHEN delta > 0 THEN 'up' ELSE 'down' END ELSE 'stable' END AS verdict, round(1.96 * sqrt(2.0::DOUBLE) * se, 1) AS margin FROM l""")
+l AS (SELECT *, floor((value - lag(value) OVER w) * 10 + 0.5::DOUBLE) / 10 AS delta, floor(2 * sqrt(2.0::DOUBLE) * sqrt(lag(se) OVER w * lag(se) OVER w + se * se) * 10 + 0.5::DOUBLE) / 10 AS threshold FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, day, delta + 0.0::DOUBLE AS delta, CASE WHEN delta IS NULL OR threshold IS NULL THEN 'none' WHEN abs(delta) > threshold THEN CASE WHEN delta > 0 THEN 'up' ELSE 'down' END ELSE 'stable' END AS verdict, floor(1.96::DOUBLE * sqrt(2.0::DOUBLE) * se * 10 + 0.5::DOUBLE) / 10 AS margin FROM l""")
 def significance_change(spark, sf):
     e = A.events(spark, sf).groupBy(F.col("type").alias("event_type"), F.floor(F.col("t_ms") / timefn.DAY).alias("day")).agg((F.floor(F.sum("value")).cast("long") % 9000 / 100.0).alias("value"), F.count("*").alias("n"))
     return TM.significance(e, ["event_type"], ["day"]).select("event_type", "day", (F.col("delta") + 0.0).alias("delta"), "verdict", "margin")
 
 
-@query("official_change", "WITH p AS (SELECT o_orderstatus, year(o_orderdate) AS y, count(*)::DOUBLE AS value FROM orders GROUP BY ALL), l AS (SELECT *, round(value - lag(value) OVER (PARTITION BY o_orderstatus ORDER BY y), 4) AS delta FROM p) SELECT o_orderstatus, y, delta, CASE WHEN delta IS NULL THEN 'none' WHEN delta = 0 THEN 'stable' ELSE 'change' END AS verdict FROM l")
+@query("official_change", "WITH p AS (SELECT o_orderstatus, year(o_orderdate) AS y, count(*)::DOUBLE AS value FROM orders GROUP BY ALL), l AS (SELECT *, floor((value - lag(value) OVER (PARTITION BY o_orderstatus ORDER BY y)) * 10000 + 0.5::DOUBLE) / 10000 AS delta FROM p) SELECT o_orderstatus, y, delta, CASE WHEN delta IS NULL THEN 'none' WHEN delta = 0 THEN 'stable' ELSE 'change' END AS verdict FROM l")
 def official_change(spark, sf):
     p = A.table(spark, sf, "orders").groupBy("o_orderstatus", F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").cast("double").alias("value"))
     return TM.official_change(p, ["o_orderstatus"], ["y"]).select("o_orderstatus", "y", "delta", "verdict")
