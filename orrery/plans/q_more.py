@@ -193,7 +193,7 @@ def registry_admissible(spark, sf):
     return c.join(F.broadcast(r), "source").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("engine_context", f"WITH {W('relation', 'participation')} SELECT section, count(*) AS n FROM (SELECT 'focus' AS section UNION ALL SELECT 'relations' FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY o) AS r FROM (SELECT 'in' AS dir, from_id AS o FROM relation WHERE to_id = 'nation:3' UNION ALL SELECT 'out', to_id FROM relation WHERE from_id = 'nation:3')) WHERE r <= 5 UNION ALL SELECT 'related_objects' FROM (SELECT from_id AS o FROM relation WHERE to_id = 'nation:3' UNION SELECT to_id FROM relation WHERE from_id = 'nation:3' LIMIT 5) UNION ALL SELECT 'related_events' FROM (SELECT DISTINCT event_id FROM participation WHERE object_id IN (SELECT from_id FROM relation WHERE to_id = 'nation:3' UNION SELECT to_id FROM relation WHERE from_id = 'nation:3') LIMIT 5)) GROUP BY section")
+@query("engine_context", f"WITH {W('relation', 'participation')} SELECT section, count(*) AS n FROM (SELECT 'focus' AS section UNION ALL SELECT 'relations' FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY o) AS r FROM (SELECT 'in' AS dir, from_id AS o FROM relation WHERE to_id = 'nation:3' UNION ALL SELECT 'out', to_id FROM relation WHERE from_id = 'nation:3')) WHERE r <= 5 UNION ALL SELECT 'related_objects' FROM (SELECT from_id AS o FROM relation WHERE to_id = 'nation:3' UNION SELECT to_id FROM relation WHERE from_id = 'nation:3' LIMIT 5) UNION ALL SELECT 'related_events' FROM (SELECT DISTINCT event_id FROM participation WHERE role = 'subject' AND object_id IN (SELECT from_id FROM relation WHERE to_id = 'nation:3' UNION SELECT to_id FROM relation WHERE from_id = 'nation:3') LIMIT 5)) GROUP BY section")
 def engine_context(spark, sf):
     c = engine(spark, sf).query("context", budget={"max_items": 5}, focus="nation:3")
     return c.where("section <> 'geography'").groupBy("section").agg(F.count("*").alias("n"))
