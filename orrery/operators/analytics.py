@@ -140,3 +140,22 @@ def recent_split(events: DataFrame, now_ms: int, hours: int = 24) -> DataFrame:
     """recent, old, newest, oldest: acquired within the last hours, or up to one hour ahead of the clock, or not."""
     fresh = F.coalesce((F.col("t_ms") <= now_ms + HOUR) & (now_ms - F.col("t_ms") <= hours * HOUR), F.lit(False))
     return events.agg(F.count(F.when(fresh, 1)).alias("recent"), F.count(F.when(~fresh, 1)).alias("old"), F.max("t_ms").alias("newest"), F.min("t_ms").alias("oldest"))
+
+
+def last_days(rows: DataFrame, day: str, days: int) -> DataFrame:
+    """Rows of the last days before the newest one in the data, that one included."""
+    newest = rows.agg(F.max(day).alias("_last"))
+    return rows.crossJoin(F.broadcast(newest)).where(F.col(day) > F.date_sub("_last", days)).drop("_last")  # one row
+
+
+def categories(rows: DataFrame, code: str, table: dict[str, str], other: str = "other") -> DataFrame:
+    """rows with category: that of the longest beginning of the code in a fixed table."""
+    out = F.lit(other)
+    for start in sorted(table, key=len):
+        out = F.when(F.col(code).startswith(start), table[start]).otherwise(out)
+    return rows.withColumn("category", out)
+
+
+def register(rows: DataFrame, keep, columns: list[str]) -> DataFrame:
+    """A published register: the rows that stay, each once."""
+    return rows.where(keep).select(*columns).distinct()

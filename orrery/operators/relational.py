@@ -125,3 +125,22 @@ def changes_since(log: DataFrame, version: int, n: int) -> DataFrame:
     """id, version, ops: what changed after a version, the least changed first."""
     rows = log.where(F.col("version") > version).groupBy("id").agg(F.max("version").alias("version"), F.array_join(F.array_sort(F.collect_set("op")), ",").alias("ops"))
     return rows.orderBy("version", "id").limit(n)
+
+
+def shared_insights(members: DataFrame, active: DataFrame, seeds: DataFrame) -> DataFrame:
+    """entity_id, other_id, n: entities that stand in an active insight together with a seed."""
+    live = members.join(active, "insight_id", "left_semi").select("insight_id", "entity_id").distinct()
+    mine = live.join(seeds, "entity_id", "left_semi")
+    others = live.select("insight_id", F.col("entity_id").alias("other_id"))
+    return mine.join(others, "insight_id").where("entity_id <> other_id").groupBy("entity_id", "other_id").agg(F.count("*").alias("n"))
+
+
+def in_force(facts: DataFrame, names: DataFrame, key: str, day: str) -> DataFrame:
+    """facts with the name whose [first, last) holds the day; names has key, first, last (null: open), name.
+
+    The names of a key are few; the join is on the key, the day is a filter.
+    """
+    rows = facts.join(names, key, "left")
+    holds = (F.col(day) >= F.col("first")) & (F.col("last").isNull() | (F.col(day) < F.col("last")))
+    own = [c for c in facts.columns]
+    return rows.groupBy(*own).agg(F.max(F.when(holds, F.col("name"))).alias("name"))

@@ -203,3 +203,52 @@ def engine_context(spark, sf):
 def engine_map(spark, sf):
     m = engine(spark, sf).query("map", scope={"z": 2}, budget={"max_items": 5000})
     return m.agg((F.count("*") <= 200).alias("fits"), F.sum("n").alias("n"))
+
+
+@query("shared_insights", f"WITH {W('event')}, m AS (SELECT DISTINCT grp || t_ms // 3600000 AS i, subject AS e FROM event), a AS (SELECT i FROM m GROUP BY i HAVING count(*) BETWEEN 2 AND 5) SELECT x.e AS entity_id, y.e AS other_id, count(*) AS n FROM m x JOIN m y USING (i) JOIN a USING (i) WHERE x.e <> y.e AND x.e IN ('customer:1', 'customer:2') GROUP BY ALL")
+def shared_insights(spark, sf):
+    from orrery.operators.relational import shared_insights as shared
+
+    e = A.events(spark, sf)
+    m = e.select(F.concat("grp", F.floor(F.col("t_ms") / 3600000).cast("string")).alias("insight_id"), F.col("subject").alias("entity_id")).distinct()
+    active = m.groupBy("insight_id").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 5").select("insight_id")
+    return shared(m, active, spark.createDataFrame([("customer:1",), ("customer:2",)], "entity_id string"))
+
+
+@query("currency_in_force", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'lira' ELSE 'euro' END AS name FROM orders")
+def currency_in_force(spark, sf):
+    from orrery.operators.relational import in_force
+
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.lit("IT").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    names = spark.createDataFrame([("IT", "1861-01-01", "1999-01-01", "lira"), ("IT", "1999-01-01", None, "euro")], "k string, first string, last string, name string")
+    return in_force(o, names, "k", "day").select("o_orderkey", "name")
+
+
+@query("horizon_caps", "SELECT p_partkey, round(degrees(acos(6371.0088::DOUBLE / (6371.0088::DOUBLE + 300 + p_size * 40) * cos(radians(10.0::DOUBLE)))) - 10, 6) AS half_angle FROM part")
+def horizon_caps(spark, sf):
+    from orrery.functions.geo import horizon_degrees
+
+    p = A.table(spark, sf, "part")
+    return p.select("p_partkey", F.round(horizon_degrees(300 + F.col("p_size") * 40, 10.0), 6).alias("half_angle"))
+
+
+@query("rolling_last_days", "SELECT event_type, count(*) AS n FROM events WHERE ts::DATE > (SELECT max(ts::DATE) FROM events) - 7 GROUP BY 1")
+def rolling_last_days(spark, sf):
+    from orrery.operators.analytics import last_days
+
+    e = A.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"))
+    return last_days(e, "day", 7).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("code_categories", "SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#12') THEN 'twelve' WHEN starts_with(p_brand, 'Brand#1') THEN 'ones' ELSE 'other' END AS category FROM part")
+def code_categories(spark, sf):
+    from orrery.operators.analytics import categories
+
+    return categories(A.table(spark, sf, "part"), "p_brand", {"Brand#1": "ones", "Brand#12": "twelve"}).select("p_partkey", "category")
+
+
+@query("published_register", "SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 10")
+def published_register(spark, sf):
+    from orrery.operators.analytics import register
+
+    return register(A.table(spark, sf, "part"), F.col("p_size") > 10, ["p_brand", "p_type"])
