@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import draw32, n_words
+from orrery.llm.common import draw32, materialise, n_words
 
 #: Slices of the draw for which words are counted: the cut of a source is moved
 #: to the slice where its drawn words come nearest to the wanted fraction.
@@ -58,18 +58,19 @@ def _slice(key: Column, seed: str) -> Column:
 def plan_mix(sizes: DataFrame, seed: str, **params) -> DataFrame:
     """Per source: source_size, target, copies (whole) and cut.
 
-    sizes has columns source, size, slice. The extra copy goes to documents whose
+    sizes has columns source, size, slice. It is summed by source and slice once; all
+    else works on those sums, written to the shared folder. The extra copy goes to documents whose
     slice is below cut. The cut starts from the fraction of the rate and is the
     slice border at which the source's words below it come nearest to fraction x
     words, so that each document's probability is the fraction, and the source's
     sum does not stray by the luck of a few long documents.
     """
-    targets = source_targets(sizes, **params)
+    cells = materialise(sizes.groupBy("source", "slice").agg(F.sum("size").alias("size")))
+    targets = source_targets(cells, **params)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("copies", F.floor(rate).cast("long")).withColumn("_want", F.col("target") - F.col("copies") * F.col("source_size"))
-    cells = sizes.groupBy("source", "slice").agg(F.sum("size").alias("_words"))
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_upto", F.sum("_words").over(upto))
+    cells = cells.withColumn("_upto", F.sum("size").over(upto))
     joined = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
     joined = joined.select("t.source", "source_size", "target", "copies", "_want", "slice", "_upto")
     nearest = F.min(F.struct(F.abs(F.col("_upto") - F.col("_want")).alias("gap"), (F.col("slice") + 1).alias("cut")))
