@@ -125,13 +125,24 @@ def neighbourhood(edges: DataFrame, focus: str, depth: int, per_group: int) -> D
     return out
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """src_no, dst_no, n: edges with dense numbers instead of names, in the order of the names.
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """names with no: 0, 1, ... in the order of a column without repeats.
 
-    The numbers come from one window over the distinct names.
+    Rows are dealt out by ranges and numbered within them; only the ranges' sizes meet in one place.
     """
+    ranged = materialise(names.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_p").alias("_q"), before.alias("_start"))
+    rows = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
+    rows = rows.join(F.broadcast(starts), F.col("_p") == F.col("_q"))  # a row for each range
+    return rows.withColumn("no", (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_p", "_q", "_r", "_start")
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """src_no, dst_no, n: edges with dense numbers instead of names, in the order of the names."""
     names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
-    numbers = materialise(names.withColumn("no", (F.row_number().over(Window.orderBy("name")) - 1).cast("long")))
+    numbers = materialise(numbered(names, "name"))
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
     rows = pairs.join(numbers.select(F.col("name").alias("src"), F.col("no").alias("src_no")), "src").join(numbers.select(F.col("name").alias("dst"), F.col("no").alias("dst_no")), "dst")
     return rows.select("src_no", "dst_no", "n")
