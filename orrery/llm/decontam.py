@@ -15,6 +15,7 @@ Documents are scanned in place: no row of theirs is shuffled.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,15 +132,14 @@ class Block:
         return np.flatnonzero(np.diff(hit)).tolist(), sorted(items)
 
 
-def blocks(benchmark: DataFrame, id_col="item_id", text_col="text") -> list[Block]:
-    """The benchmark in blocks of about BLOCK_WORDS words, each brought to the driver on its own."""
+def blocks(benchmark: DataFrame, id_col="item_id", text_col="text") -> Iterator[Block]:
+    """The benchmark in blocks of about BLOCK_WORDS words, brought to the driver one at a time."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + size // (4 * BLOCK_WORDS)
-    if n == 1:
-        return [Block([(r["id"], r["text"]) for r in items.collect()])]
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [Block([(r["id"], r["text"]) for r in items.where(part == i).collect()]) for i in range(n)]
+    for i in range(n):
+        yield Block([(r["id"], r["text"]) for r in items.where(part == i).collect()])
 
 
 def _count_shingles(docs: DataFrame, text_col: str, shared) -> dict[tuple[int, int], int]:
