@@ -79,17 +79,30 @@ def cheapest(edges: DataFrame, source: str, rounds: int, avoid: list[str] | None
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node that each node is connected with. Labels spread to neighbours and jump to their own labels."""
-    links = materialise(undirected(edges))
-    labels = materialise(links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")))
+    """node, label: the least node that each node is connected with.
+
+    Nodes go by a 64-bit hash of themselves. Each round merges every node into its
+    least neighbour, if that is less than itself, and goes on with the edges between
+    different merged nodes: as hashes have no order, stars vanish in one round and
+    some of any chain in each.
+    """
+    links = materialise(edges.select("src", "dst", F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")).distinct())
+    names = links.select(F.col("src").alias("node"), F.col("a").alias("h")).unionByName(links.select(F.col("dst").alias("node"), F.col("b").alias("h"))).distinct()
+    rest, roots = links.select("a", "b").where("a <> b"), None
     while True:
-        near = links.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        step = materialise(labels.join(near, F.col("node") == F.col("src")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
-        own = step.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        moved = materialise(step.join(own, F.col("label") == F.col("_n")).select("node", "was", F.col("_l").alias("label")))
-        labels = moved.select("node", "label")
-        if not moved.where("was <> label").limit(1).count():
-            return labels
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialise(both.groupBy(F.col("a").alias("h")).agg(F.min("b").alias("_m")).select("h", F.least("h", "_m").alias("up")))
+        if roots is None:
+            roots = up.withColumnRenamed("up", "root")
+        else:
+            roots = materialise(roots.join(up.withColumnRenamed("h", "root"), "root", "left").select("h", F.coalesce("up", "root").alias("root")))
+        rows = rest.join(up.select(F.col("h").alias("a"), F.col("up").alias("_x")), "a").join(up.select(F.col("h").alias("b"), F.col("up").alias("_y")), "b")
+        rest = materialise(rows.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).where("a <> b").distinct())
+        if not rest.limit(1).count():
+            break
+    named = materialise(names.join(roots, "h", "left").select("node", F.coalesce("root", "h").alias("root")))
+    least = materialise(named.groupBy("root").agg(F.min("node").alias("label")))
+    return named.join(least, "root").select("node", "label")
 
 
 def closure(evidence: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:

@@ -352,7 +352,7 @@ def grouped(rule: Rule, bindings: DataFrame, world: World) -> DataFrame:
             if link["op"] == "related":
                 both = both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
             pairs = pairs.join(both, (F.col("x_id") == F.col("_a")) & (F.col("y_id") == F.col("_b")), "left_semi")
-    name = lambda c: F.concat_ws("\x1f", "anchor", c)
+    name = lambda c: F.xxhash64("anchor", c)
     labels = components(pairs.select(name("x_id").alias("src"), name("y_id").alias("dst")))
     rows = cands.withColumn("_node", name("id")).join(labels.withColumnRenamed("node", "_node"), "_node", "left").withColumn("grp", F.coalesce("label", "_node"))
     order = []
