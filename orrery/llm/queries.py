@@ -5,6 +5,7 @@ from orrery.llm import chat, decontam, html, jaccard, mixing, quality, sharding,
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_passage_dedup": substring.op2_passage_dedup,
     "op2_line_dedup": substring.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,

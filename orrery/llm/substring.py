@@ -1,18 +1,26 @@
-"""Substring dedup by line hashing.
+"""Substring dedup: whole lines by hashing, and passages of any place and line length.
 
-Lines are the units. Each is normalised and hashed where its document lies; only
+Lines: lines are the units. Each is normalised and hashed where its document lies; only
 digests, ids and offsets are shuffled. Digests are grouped globally with partial
 aggregation, so that a line of a third of all documents is one row from each task.
 The repeated digests are written out; units then join them, which lets the
 optimiser broadcast them where they are measured to be small and split a hot digest
 where not. The earliest occurrence by (rank, unit) stays.
+
+Passages: every window of PASSAGE words counts, wherever it starts and ends. A window
+names the least hash of its GRAM-word shingles (winnowing), so equal windows name equal
+shingles, and neighbours that name the same one make a segment. Segments are grouped
+whole; only where a shingle has segments of differing content are the windows of one
+segment of each content compared too. No repeated window is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -21,6 +29,12 @@ from orrery.llm.common import materialise
 
 #: Shorter lines are no passages: headings, list marks and the like stay.
 MIN_WORDS = 10
+#: A passage of over 50 words holds a window of this many.
+PASSAGE = 51
+GRAM = 26
+#: Polynomial hashes modulo 2^64 of word hashes; the factor is odd and so has an inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def units_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
@@ -79,6 +93,161 @@ def remove_units(docs: DataFrame, removed: DataFrame, id_col="doc_id", text_col=
     return joined.withColumn(text_col, pandas_udf(cut, "string")(F.col(text_col), F.col("_removed")))
 
 
+class _WordHashes(dict):
+    """64-bit hash of each word; the table is emptied before it gets large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.md5(word).digest()[:8], "little")
+        return h
+
+
+_HASHES = _WordHashes()
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def segments_of(text: str | None, size: int = PASSAGE, gram: int = GRAM):
+    """(at, n, shingle, digest, windows) of a text, or None where it has fewer than size words.
+
+    The first four are arrays by segment: its first window, its number of windows, the
+    hash of the shingle that these windows name, and the hash of all its words. windows
+    has the hash of each window. Normal form as in units_of, and lines do not count.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < size:
+        return None
+    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    back = _powers(INVERSE, len(w))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * _powers(BASE, len(w)), dtype=np.uint64)])
+    over = lambda at, stop: _mix((sums[stop] - sums[at]) * back[at])
+    starts = np.arange(len(w) - gram + 1)
+    grams, span = over(starts, starts + gram), size - gram + 1
+    views = np.lib.stride_tricks.sliding_window_view(grams, span)
+    named = np.arange(len(views)) + span - 1 - views[:, ::-1].argmin(1)  # of equal hashes the last
+    at = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
+    n = np.diff(np.append(at, len(named)))
+    windows = over(np.arange(len(named)), np.arange(len(named)) + size)
+    return at, n, grams[named[at]], _mix(over(at, at + n + size - 1) + n.astype(np.uint64)), windows
+
+
+def _spread(batch: pa.RecordBatch, rows: list[int], parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """rank and doc_id of the batch, each repeated for its parts, and the parts as columns."""
+    idx = pa.array(np.repeat(np.array(rows, np.int64), [len(p[0]) for p in parts]))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32)) for c in columns]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx), *arrays], names=["rank", "doc_id", *names])
+
+
+def _cut_segments(batches):
+    for batch in batches:
+        found = [(i, s) for i, t in enumerate(batch.column(2).to_pylist()) if (s := segments_of(t))]
+        if found:
+            yield _spread(batch, [i for i, _ in found], [list(s[:4]) for _, s in found], ["at", "n", "shingle", "digest"])
+
+
+def _cut_windows(batches):
+    for batch in batches:
+        rows, parts = [], []
+        for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            if (s := segments_of(text)) is None:
+                continue
+            at, n, shingle, digest, windows = s
+            keys = {(x["at"], x["digest"]) for x in wanted}
+            pick = np.array([k in keys for k in zip(at.tolist(), digest.view(np.int64).tolist(), strict=True)])
+            place = np.flatnonzero(np.repeat(pick, n))
+            rows.append(i)
+            parts.append([place, np.repeat(shingle, n)[place], windows[place]])
+        if rows:
+            yield _spread(batch, rows, parts, ["at", "shingle", "digest"])
+
+
+def _later(found: DataFrame, length: Column) -> DataFrame:
+    """The words [start, stop) of found that go: those beyond the first window, where the two overlap."""
+    same = F.col("rank").eqNullSafe(F.col("first.rank")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + PASSAGE)).otherwise(F.col("at"))
+    return found.select("rank", "doc_id", start.cast("int").alias("start"), (F.col("at") + length).cast("int").alias("stop"))
+
+
+def repeated_passages(docs: DataFrame, rank_col="doc_id", id_col="doc_id", text_col="text") -> DataFrame:
+    """rank, doc_id, start, stop: words (counted from 0, stop exclusive) that lie in a repeat of an earlier window of PASSAGE words.
+
+    Spans of a document may overlap. Windows are ranked by (rank, id, place), null first,
+    and the first of each content stays, also within one document. Rows that share rank
+    and id are the same document, as in repeated_units.
+    """
+    texts = docs.select(F.col(rank_col).alias("rank"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ids = [texts.schema["rank"], texts.schema["doc_id"]]
+    declared = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids)
+    place = F.struct("rank", "doc_id", "at")
+    segments = materialise(texts.mapInArrow(_cut_segments, f"{declared}, at int, n int, shingle long, digest long"))
+    kinds = materialise(segments.groupBy("shingle", "digest", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
+    copies = segments.join(kinds.where("copies > 1").drop("copies"), ["shingle", "digest", "n"]).where(~place.eqNullSafe(F.col("first")))
+    whole = _later(copies, F.col("n") + (PASSAGE - 1))
+    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    wanted = kinds.join(mixed, "shingle").select(F.col("first.rank").alias("_r"), F.col("first.doc_id").alias("_d"), F.struct(F.col("first.at").alias("at"), "digest").alias("w"))
+    wanted = wanted.groupBy("_r", "_d").agg(F.collect_list("w").alias("wanted"))
+    again = texts.join(wanted, F.col("rank").eqNullSafe(F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("rank", "doc_id", "text", "wanted")
+    windows = materialise(again.mapInArrow(_cut_windows, f"{declared}, at int, shingle long, digest long"))
+    firsts = materialise(windows.groupBy("shingle", "digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    parts = _later(windows.join(firsts, ["shingle", "digest"]).where(~place.eqNullSafe(F.col("first"))), F.lit(PASSAGE))
+    return whole.unionByName(parts).where("start < stop")
+
+
+def cut_words(text: str | None, spans) -> tuple[str | None, list[dict]]:
+    """The text without the words of the spans, and what was cut as offsets in code points."""
+    if text is None or spans is None or not len(spans):
+        return text, []
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    solid = ~((code == 32) | ((code >= 9) & (code <= 13)))
+    edge = np.diff(np.concatenate([[0], solid.astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    merged: list[list[int]] = []
+    for a, b in sorted((int(s["start"]), min(int(s["stop"]), len(starts))) for s in spans if s["start"] < len(starts)):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    gone = [{"start": int(starts[a]), "stop": int(ends[b - 1])} for a, b in merged]
+    keep, at = [], 0
+    for g in gone:
+        keep.append(text[at : g["start"]])
+        at = g["stop"]
+    return "".join([*keep, text[at:]]), gone
+
+
+def remove_passages(docs: DataFrame, spans: DataFrame, rank_col="doc_id", id_col="doc_id", text_col="text") -> DataFrame:
+    """docs with the words of the spans cut out of their texts, and _removed: their original offsets, end exclusive."""
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        got = [cut_words(t, s) for t, s in zip(texts, spans, strict=True)]
+        return pd.DataFrame({"text": [t for t, _ in got], "gone": [g for _, g in got]})
+
+    by_doc = spans.groupBy(F.col("rank").alias("_r"), F.col("doc_id").alias("_d")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    joined = docs.join(by_doc, F.col(rank_col).eqNullSafe(F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_d")), "left")
+    done = joined.withColumn("_cut", pandas_udf(cut, "text string, gone array<struct<start:int,stop:int>>")(F.col(text_col), F.col("_spans")))
+    return done.withColumns({text_col: F.col("_cut.text"), "_removed": F.col("_cut.gone")}).drop("_r", "_d", "_spans", "_cut")
+
+
+def op2_passage_dedup(spark, sf_dir):
+    """Each document without the passages of over 50 words that an earlier place holds, and the offsets of what was cut."""
+    from orrery.llm.common import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_passages(docs, repeated_passages(docs)).withColumnRenamed("_removed", "removed")
+
+
 def op2_line_dedup(spark, sf_dir):
     from orrery.llm.common import table
 

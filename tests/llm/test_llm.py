@@ -94,6 +94,59 @@ def test_line_dedup_edges(spark):
     assert substring.repeated_units(empty_docs(spark)).count() == 0
 
 
+def brute_repeats(rows, size=substring.PASSAGE):
+    """doc -> word places that lie in a repeat of an earlier window and beyond that window."""
+    first, gone = {}, collections.defaultdict(set)
+    for doc, text in sorted(rows):
+        words = tuple((text or "").lower().split())
+        for i in range(len(words) - size + 1):
+            d, j = first.setdefault(words[i : i + size], (doc, i))
+            if (d, j) != (doc, i):
+                gone[doc] |= set(range(max(i, j + size) if d == doc else i, i + size))
+    return {d: p for d, p in gone.items() if p}
+
+
+def check_passages(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring.repeated_passages(df)
+    got = collections.defaultdict(set)
+    for r in spans.collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+    want = brute_repeats(rows)
+    assert dict(got) == want
+    clean = {r["doc_id"]: r for r in substring.remove_passages(df, spans).collect()}
+    assert len(clean) == len(rows)
+    for doc, text in rows:
+        r = clean[doc]
+        left = [w for i, w in enumerate((text or "").split()) if i not in want.get(doc, ())]
+        assert (r["text"] or "").split() == left
+        assert (r["text"] is None) == (text is None)
+        assert sum(len(text[x["start"] : x["stop"]].split()) for x in r["_removed"]) == len(want.get(doc, ()))
+    return want
+
+
+def test_passages_inside_longer_lines(spark):
+    w = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    p, rng = w("Pass", 51), random.Random(2)
+    rows = [(1, f"{w('a', 70)} {p} {w('b', 9)}"), (2, f"{w('c', 33)} {p.upper()} {w('d', 80)}"), (3, f"{w('e', 5)} {w('Pass', 50)} {w('f', 60)}"), (4, None), (5, ""), (6, p), (7, "la " * 200), (8, " ".join([w("o", 53)] * 4)), (9, " ".join([w("p", 20)] * 9))]
+    rows += [(10 + k, " ".join(rng.choice("xyz") for _ in range(90)) + " " + w("a", 70)[rng.randrange(20) :]) for k in range(4)]
+    base = [f"t{rng.randrange(9)}" for _ in range(400)]
+    for k in range(12):  # edited copies, windows of all kinds
+        a, b = sorted(rng.sample(range(400), 2))
+        rows.append((20 + k, " ".join([*base[a:b], f"q{k}", *base[rng.randrange(400) :]])))
+    want = check_passages(spark, rows)
+    assert want[2] == set(range(33, 84)) and 3 not in want and want[6] == set(range(51)) and len(want[7]) == 149
+
+
+def test_passages_edges(spark):
+    df = edge_docs(spark)
+    spans = substring.repeated_passages(df)
+    assert {r["doc_id"] for r in spans.collect()} == {9}  # the long text of document 4
+    clean = substring.remove_passages(df, spans)
+    assert clean.count() == 10 and [r["text"].strip() for r in clean.where("doc_id = 9").collect()] == [""]
+    assert substring.repeated_passages(empty_docs(spark)).count() == 0
+
+
 # ---- 3 mixing ----
 
 
