@@ -138,6 +138,15 @@ def test_passages_inside_longer_lines(spark):
     assert want[2] == set(range(33, 84)) and 3 not in want and want[6] == set(range(51)) and len(want[7]) == 149
 
 
+def test_passages_of_short_lines(spark):
+    verse = [f"v{i} of nine" for i in range(20)]
+    rows = [(1, "one head\n" + "\n".join(verse)), (2, "\n\n".join(verse) + "\nan end of its own"), (3, "\n".join(verse[:16]) + "\nx"), (4, "\n".join(verse[3:]).replace(" ", "\n"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.repeated_units(df).count() == 0
+    want = check_passages(spark, rows)
+    assert want == {2: set(range(60)), 4: set(range(51))}
+
+
 def test_passages_edges(spark):
     df = edge_docs(spark)
     spans = substring.repeated_passages(df)
