@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from orrery.functions import confidence, geo
 from orrery.functions.timefn import month_index, to_ms
 
+#: A closure ends where nothing new is reached. Chains of ids that are halved at each step end before this.
+WHOLE_DEPTH = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -88,7 +88,12 @@ def comparison_same_month(spark, sf):
 
 @query("series_assembly", "WITH t AS (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, event_id, value FROM events WHERE user_id < 20) SELECT event_type, user_id, count(*) AS n, string_agg(value::VARCHAR, ';' ORDER BY t, event_id) AS points FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY t DESC, event_id DESC) AS r FROM t) WHERE r <= 10 GROUP BY ALL")
 def series_assembly(spark, sf):
-    e = A.events(spark, sf).where("user_id < 20").select(F.col("type").alias("event_type"), "user_id", "t_ms", "n", "value")
+    return series_assembly_all(spark, sf, "user_id < 20")
+
+
+@query("series_assembly_all")
+def series_assembly_all(spark, sf, bound="true"):
+    e = A.events(spark, sf).where(bound).select(F.col("type").alias("event_type"), "user_id", "t_ms", "n", "value")
     return AN.series(e, ["event_type", "user_id"], "t_ms", "n", "value", 10)
 
 
@@ -225,7 +230,12 @@ def observed_and_predicted(spark, sf):
 
 @query("wide_to_long", "SELECT l_orderkey, name, max(value) AS value FROM (UNPIVOT (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey < 300) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value) GROUP BY ALL")
 def wide_to_long(spark, sf):
-    li = A.table(spark, sf, "lineitem").where("l_orderkey < 300")
+    return wide_to_long_all(spark, sf, "l_orderkey < 300")
+
+
+@query("wide_to_long_all")
+def wide_to_long_all(spark, sf, bound="true"):
+    li = A.table(spark, sf, "lineitem").where(bound)
     return AN.wide_to_long(li, ["l_orderkey"], ["l_quantity", "l_discount", "l_tax"]).groupBy("l_orderkey", "name").agg(F.max("value").alias("value"))
 
 

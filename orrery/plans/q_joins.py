@@ -253,7 +253,12 @@ def tariff_lookup(spark, sf):
 
 @query("edge_confidence", f"WITH {W('relation')} SELECT e.l_orderkey * 10 + e.l_linenumber AS edge, max(coalesce(CASE WHEN e.l_quantity > 40 THEN 0.99::DOUBLE END, r.confidence)) AS confidence FROM lineitem e LEFT JOIN relation r ON r.relation_id = 'supplies|supplier:' || l_suppkey || '|part:' || l_partkey WHERE l_orderkey < 500 GROUP BY 1")
 def edge_confidence(spark, sf):
-    li = A.table(spark, sf, "lineitem").where("l_orderkey < 500")
+    return edge_confidence_all(spark, sf, "l_orderkey < 500")
+
+
+@query("edge_confidence_all")
+def edge_confidence_all(spark, sf, bound="true"):
+    li = A.table(spark, sf, "lineitem").where(bound)
     ref = F.concat(F.lit("supplies|supplier:"), F.col("l_suppkey").cast("string"), F.lit("|part:"), F.col("l_partkey").cast("string"))
     rows = li.withColumn("ref", ref).join(A.relations(spark, sf).select(F.col("relation_id").alias("ref"), "confidence"), "ref", "left")
     own = F.when(F.col("l_quantity") > 40, 0.99)

@@ -375,9 +375,13 @@ def neighbourhood_topk(spark, sf):
 
 @query("provenance_closure", "WITH RECURSIVE ev AS (SELECT DISTINCT o_orderkey AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey < 2000), r AS (SELECT DISTINCT a AS root, a AS support, 0 AS depth FROM ev WHERE a % 97 = 5 UNION ALL SELECT root, ev.b, depth + 1 FROM r JOIN ev ON ev.a = r.support WHERE depth < 6) SELECT root, support, min(depth)::INT AS depth FROM r GROUP BY root, support")
 def provenance_closure(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("supports"), F.floor(F.col("o_orderkey") / 2).alias("support"))
-    roots = o.where("supports % 97 = 5").select(F.col("supports").alias("node"))
-    return G.closure(o, roots, 6)
+    return provenance_closure_all(spark, sf, "o_orderkey < 2000", "supports % 97 = 5", 6)
+
+
+@query("provenance_closure_all")
+def provenance_closure_all(spark, sf, bound="true", rooted="true", depth=A.WHOLE_DEPTH):
+    o = A.table(spark, sf, "orders").where(bound).select(F.col("o_orderkey").alias("supports"), F.floor(F.col("o_orderkey") / 2).alias("support"))
+    return G.closure(o, o.where(rooted).select(F.col("supports").alias("node")), depth)
 
 
 @query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 3 * 50 AS b FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 > 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, label FROM c JOIN u ON u.a = c.node WHERE label < u.b) SELECT node, min(label) AS label FROM c GROUP BY node")
