@@ -57,7 +57,12 @@ s AS (SELECT *, CASE WHEN end_day IS NOT NULL THEN 'ended' WHEN start IS NULL TH
 h AS (SELECT office, any_value(collegial) AS coll, count(DISTINCT person) FILTER (st = 'current') AS holders, bool_or(st = 'superseded' AND rank = 'preferred') AS pref FROM s GROUP BY office)
 SELECT s.office, s.person, CASE WHEN st = 'current' AND NOT coll AND (holders > 1 OR pref) THEN 'conflict' ELSE st END AS state, CASE WHEN NOT coll AND (holders > 1 OR pref) THEN 'ambiguous' WHEN holders = 0 THEN 'none' WHEN coll THEN 'collegial' ELSE 'unique' END AS outcome FROM s JOIN h USING (office)""")
 def tenure_state(spark, sf):
-    c = A.table(spark, sf, "customer").where("c_custkey % 9 = c_nationkey % 9")
+    return tenure_state_all(spark, sf, "c_custkey % 9 = c_nationkey % 9")
+
+
+@query("tenure_state_all")
+def tenure_state_all(spark, sf, bound="true"):
+    c = A.table(spark, sf, "customer").where(bound)
     start = F.when(F.col("c_custkey") % 11 > 0, F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") % 40).cast("int")), "yyyy-MM-dd"))
     terms = c.select(F.col("c_nationkey").alias("office"), F.col("c_custkey").alias("person"), start.alias("start"), F.when(F.col("c_custkey") % 2 == 0, "2020-01-01").alias("end_day"), F.when(F.col("c_custkey") % 5 == 0, "preferred").otherwise("normal").alias("rank"), (F.col("c_nationkey") % 3 == 0).alias("collegial"))
     return TM.tenures(terms).select("office", "person", "state", "outcome")
@@ -99,7 +104,12 @@ def series_assembly_all(spark, sf, bound="true"):
 
 @query("reality_perception_pairs", "WITH s AS (SELECT p_type AS topic, p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'survey' ELSE 'other' END AS kind FROM part WHERE p_partkey % 10 < 3) SELECT topic, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (kind = 'official') AS reality, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (kind = 'survey') AS perception FROM s GROUP BY topic HAVING bool_or(kind = 'official') AND bool_or(kind = 'survey')")
 def reality_perception_pairs(spark, sf):
-    p = A.table(spark, sf, "part").where("p_partkey % 10 < 3")
+    return reality_perception_pairs_all(spark, sf, "p_partkey % 10 < 3")
+
+
+@query("reality_perception_pairs_all")
+def reality_perception_pairs_all(spark, sf, bound="true"):
+    p = A.table(spark, sf, "part").where(bound)
     kind = F.when(F.col("p_partkey") % 3 == 0, "official").when(F.col("p_partkey") % 3 == 1, "survey").otherwise("other")
     return AN.pairs_by_topic(p.select(F.col("p_type").alias("topic"), F.col("p_partkey").alias("id"), kind.alias("kind")))
 
@@ -111,8 +121,13 @@ WHERE value >= 1 AND event_id % 7 = 1 AND ts::DATE > (SELECT max(ts::DATE) FROM
 @query("zone_rules", f"""WITH {_Z}, g AS (SELECT state, unit, count(*) AS n, sum(floor(value))::BIGINT AS deaths, count(*) FILTER (event_type = 'error' AND event_id % 5 <> state % 5) AS foreign_n, count(DISTINCT (floor((lon + 180) / 0.5::DOUBLE), floor((lat + 90) / 0.5::DOUBLE))) AS n_cells FROM e GROUP BY ALL),
 r AS (SELECT *, CASE WHEN n >= 3 THEN 'R1' WHEN deaths >= 25 AND n >= 2 THEN 'R2' WHEN foreign_n > 0 THEN 'O1' END AS rule FROM g) SELECT state, unit, n, deaths, foreign_n, n_cells, rule, CASE WHEN rule IN ('R1', 'R2') THEN 'red' ELSE 'orange' END AS color FROM r WHERE rule IS NOT NULL""")
 def zone_rules(spark, sf):
+    return zone_rules_all(spark, sf, "event_id % 7 = 1")
+
+
+@query("zone_rules_all")
+def zone_rules_all(spark, sf, bound="true"):
     e = A.table(spark, sf, "events")
-    e = e.withColumns({"lon": A.lon_of(F.col("user_id")), "lat": A.lat_of(F.col("user_id")), "day": F.to_date("ts")}).where("value >= 1 AND event_id % 7 = 1")
+    e = e.withColumns({"lon": A.lon_of(F.col("user_id")), "lat": A.lat_of(F.col("user_id")), "day": F.to_date("ts")}).where("value >= 1").where(bound)
     last = A.table(spark, sf, "events").agg(F.max(F.to_date("ts")).alias("last"))
     e = e.crossJoin(F.broadcast(last)).where(F.col("day") > F.date_sub("last", 15))  # one row
     state = F.col("user_id") % 20

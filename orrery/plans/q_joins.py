@@ -267,9 +267,14 @@ def edge_confidence_all(spark, sf, bound="true"):
 
 @query("support_reference", f"WITH {W('event', 'object')} SELECT 'record' AS kind, event_id AS id, source AS via FROM event WHERE n % 10 = 0 UNION ALL SELECT 'object', subject, label FROM event JOIN object ON object_id = subject WHERE n % 10 = 1")
 def support_reference(spark, sf):
+    return support_reference_all(spark, sf, "n % 10 = 0", "n % 10 = 1")
+
+
+@query("support_reference_all")
+def support_reference_all(spark, sf, records="true", objects="true"):
     e = A.events(spark, sf)
-    rec = e.where("n % 10 = 0").select(F.lit("record").alias("kind"), F.col("event_id").alias("id"), F.col("source").alias("via"))
-    obj = e.where("n % 10 = 1").join(A.objects(spark, sf).select("object_id", "label"), F.col("object_id") == F.col("subject"))
+    rec = e.where(records).select(F.lit("record").alias("kind"), F.col("event_id").alias("id"), F.col("source").alias("via"))
+    obj = e.where(objects).join(A.objects(spark, sf).select("object_id", "label"), F.col("object_id") == F.col("subject"))
     return rec.unionByName(obj.select(F.lit("object").alias("kind"), F.col("subject").alias("id"), F.col("label").alias("via")))
 
 

@@ -52,7 +52,12 @@ k AS (SELECT id, 'u' || url || '|' || place AS key FROM r UNION ALL SELECT id, '
 c AS (SELECT id AS node, id AS label FROM r UNION SELECT e.b, label FROM c JOIN e ON e.a = c.node WHERE label < e.b), g AS (SELECT node, min(label) AS grp FROM c GROUP BY node)
 SELECT min({'a': -articles, 'id': id}).id AS id, count(*) AS n, sum(articles)::BIGINT AS articles, count(DISTINCT url) AS pages, min(t) AS first, max(t) AS last FROM r JOIN g ON node = id GROUP BY grp""")
 def news_reports(spark, sf):
-    e = A.events(spark, sf).join(A.table(spark, sf, "events").select(F.col("event_id").alias("n"), "props"), "n").where("n % 5 = 0")
+    return news_reports_all(spark, sf, "n % 5 = 0")
+
+
+@query("news_reports_all")
+def news_reports_all(spark, sf, bound="true"):
+    e = A.events(spark, sf).join(A.table(spark, sf, "events").select(F.col("event_id").alias("n"), "props"), "n").where(bound)
     rows = e.select(F.col("n").alias("id"), F.col("props").alias("url"), (F.col("user_id") % 30).cast("string").alias("place"), F.col("type").alias("action"), F.floor(F.col("t_ms") / 3600000).alias("hour"), (F.col("n") % 9).alias("articles"), F.col("t_ms").alias("t"))
     return V.news_reports(rows)
 

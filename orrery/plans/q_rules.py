@@ -386,7 +386,12 @@ def provenance_closure_all(spark, sf, bound="true", rooted="true", depth=A.WHOLE
 
 @query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 3 * 50 AS b FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 > 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, label FROM c JOIN u ON u.a = c.node WHERE label < u.b) SELECT node, min(label) AS label FROM c GROUP BY node")
 def connected_components(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_orderkey % 40 = 0 AND o_orderkey % 3 > 0")
+    return connected_components_all(spark, sf, "o_orderkey % 40 = 0 AND o_orderkey % 3 > 0")
+
+
+@query("connected_components_all")
+def connected_components_all(spark, sf, bound="true"):
+    o = A.table(spark, sf, "orders").where(bound)
     return G.components(o.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 50).alias("dst")))
 
 

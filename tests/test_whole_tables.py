@@ -18,6 +18,12 @@ CUTS = {
     "provenance_complete": [EV, ("WHERE supports % 50 = 7", ""), DEEP],
     "line_chains": [("WHERE o_orderkey < 600", "")],
     "series_assembly": [("WHERE user_id < 20", "")],
+    "connected_components": [("WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 > 0", "")],
+    "news_reports": [("WHERE event_id % 5 = 0", "")],
+    "reality_perception_pairs": [("WHERE p_partkey % 10 < 3", "")],
+    "zone_rules": [("AND event_id % 7 = 1", "")],
+    "tenure_state": [("WHERE c_custkey % 9 = c_nationkey % 9", "")],
+    "support_reference": [("WHERE n % 10 = 0", ""), ("WHERE n % 10 = 1", "")],
 }
 
 
