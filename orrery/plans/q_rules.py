@@ -438,6 +438,12 @@ def norm_name_query(spark, sf):
     return d.select("doc_id", norm_name(F.substring("text", 1, 40)).alias("name"))
 
 
+@query("norm_name_all")
+def norm_name_all(spark, sf):
+    """Whole texts in all languages, with the rule of the leading 'the'."""
+    return A.table(spark, sf, "documents").select("doc_id", norm_name(F.col("text")).alias("name"))
+
+
 @query("match_places", "WITH s AS (SELECT 'customer:' || c_custkey AS id, c_name AS label, c_custkey AS rank FROM customer), n AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS nn FROM s) SELECT id, label, CASE WHEN nn = 'customer 00000001' THEN 0.0::DOUBLE WHEN starts_with(nn, 'customer 00000001') THEN 1.0::DOUBLE END AS score FROM n WHERE starts_with(nn, 'customer 00000001') ORDER BY score, rank DESC NULLS FIRST, length(label), label, id LIMIT 5")
 def match_places(spark, sf):
     c = A.table(spark, sf, "customer")

@@ -1,6 +1,8 @@
 """Queries over whole tables: against the DuckDB twins of the bounded ones without their bounds, and against brute force."""
 
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -56,3 +58,23 @@ def test_evidence_of_every_record(spark, duck):
     keys = [k for (k,) in duck.sql("SELECT o_orderkey FROM orders WHERE o_orderkey > 2").fetchall()]
     want = [(k // 3, "supports", k) for k in keys] + [(k, "rests_on", k // 3) for k in keys]
     assert ordered(tuple(r) for r in QUERIES["evidence_in_and_out_all"](spark, SF).collect()) == ordered(want)
+
+
+def test_norm_name_of_whole_texts(spark, duck):
+    def brute(text):
+        if text is None:
+            return None
+        plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
+        return re.sub("^the (?=.)", "", re.sub(r"[\W_]+", " ", plain).strip(" "))
+
+    docs = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    got = ordered(tuple(r) for r in QUERIES["norm_name_all"](spark, SF).collect())
+    assert got == ordered((d, brute(t)) for d, t in docs)
+    assert sum((t or "").lower().startswith("the ") for _, t in docs) > 0
+
+
+def test_norm_name_drops_the_leading_the(spark, tmp_path):
+    texts = ["The  Élan of\n" + "très long " * 30, "the", "THE-end", "then"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(tuple(r) for r in QUERIES["norm_name_all"](spark, str(tmp_path)).collect())
+    assert got == {0: "elan of " + " ".join(["tres long"] * 30), 1: "the", 2: "end", 3: "then"}
