@@ -27,8 +27,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}}
 TABLE_SCOPE = frozenset({"table"})
 #: An end tag does not close what lies outside the cell that it stands in.
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 BARRIER = frozenset({"td", "th", "caption", "table"})
-MAX_DEPTH = 150  # deeper elements become children at this depth
+MAX_DEPTH = 150  # of lists, tables and quotes in each other; deeper ones are shown as plain blocks, without columns and more indents
 CELL_PAD = 40  # wider cells are not padded
 GAP = "  "
 
@@ -54,20 +55,28 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # tag -> where it is open
+
+    def _last(self, tags) -> int:
+        """Where the innermost open element of these is; 0 for none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _close(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
 
     def _pop_to(self, names: set, stop) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in names:
-                del self.open[i:]
-                return self._pop_to(names, stop)
-            if tag in stop:
-                return None
-        return None
+        outside = self._last(t for t in stop if t not in names)
+        while (at := self._last(names)) > outside:
+            self._close(at)
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
-            if tag == "body" and any(n.tag == "head" for n in self.open):
+            if tag == "body" and self._last(("head",)):
                 self._pop_to({"head"}, ())
             if tag == "body" and self.open[-1].tag != "html":
                 return
@@ -77,17 +86,16 @@ class TreeBuilder(HTMLParser):
             self._pop_to(CLOSES[tag], SCOPE.get(tag, TABLE_SCOPE))
         if tag in BLOCK and tag not in ("html", "body"):
             self._pop_to({"p"}, BARRIER | {"button", "object"})
-        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and re.fullmatch("h[1-6]", self.open[-1].tag):
-            self.open.pop()
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and self.open[-1].tag in HEADINGS:
+            self._close(len(self.open) - 1)
         if tag == "a":
             self._pop_to({"a"}, BARRIER)
         if tag not in HIDDEN and self.open[-1].tag == "head":
-            self.open.pop()
+            self._close(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
-            if len(self.open) < MAX_DEPTH:
-                self.open.append(node)
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -98,22 +106,16 @@ class TreeBuilder(HTMLParser):
             return
         if tag in VOID or tag in ("html", "body"):
             return
-        heading = re.fullmatch("h[1-6]", tag)
-        for i in range(len(self.open) - 1, 0, -1):
-            own = self.open[i].tag
-            if own == tag or (heading and re.fullmatch("h[1-6]", own)):
-                del self.open[i:]
-                return
-            if own in BARRIER and not (tag in BARRIER or tag in ("tr", "tbody", "thead", "tfoot")):
-                break
-            if own == "table" and tag != "table":
-                break
+        within = BARRIER if not (tag in BARRIER or tag in ("tr", "tbody", "thead", "tfoot")) else TABLE_SCOPE - {tag}
+        if (at := self._last(HEADINGS if tag in HEADINGS else (tag,))) > self._last(within):
+            self._close(at)
+            return
         if tag == "p":
             self.open[-1].children.append(Node("p", {}))
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._close(len(self.open) - 1)
         self.open[-1].children.append(data)
 
     def parse_marked_section(self, i, report=1):  # these are comments in HTML
@@ -184,10 +186,11 @@ class Lines:
         return self.lines
 
 
-def _lines(nodes: list) -> list[str]:
+def _lines(nodes: list, level: int = 0) -> list[str]:
+    """level: the number of lists, tables and quotes around."""
     out = Lines()
     for n in nodes:
-        _render(n, out)
+        _render(n, out, level)
     lines = out.done()
     while lines and not lines[-1]:
         lines.pop()
@@ -198,7 +201,7 @@ def _integer(text: str, default: int) -> int:
     return int(text) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text) else default
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node, level: int) -> list[str]:
     out: list[str] = []
     items = [c for c in node.children if isinstance(c, Node) and c.visible() and c.tag == "li"]
     step = -1 if "reversed" in node.attrs else 1
@@ -206,12 +209,12 @@ def _list(node: Node) -> list[str]:
     for c in node.children:
         if isinstance(c, str):
             if c.strip():
-                out += _lines([c])
+                out += _lines([c], level)
             continue
         if not c.visible():
             continue
         if c.tag != "li":
-            out += _lines([c])
+            out += _lines([c], level)
             continue
         mark = "- "
         if node.tag == "ol":
@@ -221,7 +224,7 @@ def _list(node: Node) -> list[str]:
         for inner in c.children:  # a list within an item has no space around it
             if isinstance(inner, Node) and inner.tag in ("ul", "ol", "menu", "dir"):
                 inner.attrs["_nested"] = ""
-        body = _lines(c.children)
+        body = _lines(c.children, level)
         out += [(mark if i == 0 else " " * len(mark) if line else "") + line for i, line in enumerate(body)]
     return out
 
@@ -237,13 +240,13 @@ def _rows(node: Node) -> list[Node]:
     return found
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, level: int) -> list[str]:
     out: list[str] = []
     for c in node.children:  # captions and text that lies outside of rows
         if isinstance(c, str):
-            out += _lines([c]) if c.strip() else []
+            out += _lines([c], level) if c.strip() else []
         elif c.visible() and c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-            out += _lines([c])
+            out += _lines([c], level)
     grid, busy = [], {}  # busy: columns taken by a cell from above -> rows left
     for row in _rows(node):
         cells: dict[int, list[str]] = {}
@@ -253,13 +256,13 @@ def _table(node: Node) -> list[str]:
         for c in row.children:
             if isinstance(c, str):
                 if c.strip():
-                    out += _lines([c])
+                    out += _lines([c], level)
                 continue
             if not c.visible():
                 continue
             while at in taken:
                 at += 1
-            cells[at] = _lines(c.children) if c.tag in ("td", "th") else _lines([c])
+            cells[at] = _lines(c.children, level) if c.tag in ("td", "th") else _lines([c], level)
             width = min(max(_integer(c.attrs.get("colspan", ""), 1), 1), 100)
             down = min(max(_integer(c.attrs.get("rowspan", ""), 1), 1), 1000)
             for k in range(at, at + width):
@@ -284,57 +287,77 @@ def _table(node: Node) -> list[str]:
     return out
 
 
-def _render(node, out: Lines) -> None:
-    if isinstance(node, str):
-        out.text(node)
-        return
-    if not node.visible():
-        return
-    tag = node.tag
-    if tag == "br":
-        out.end_line(always=True)
-    elif tag == "hr":
-        out.block(True)
-    elif tag == "input":
-        if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
-            out.text(node.attrs["value"])
-    elif tag in ("ul", "ol", "menu", "dir"):
-        out.block("_nested" not in node.attrs)
-        out.add(_list(node))
-        out.block("_nested" not in node.attrs)
-    elif tag == "table":
-        out.block(True)
-        out.add(_table(node))
-        out.block(True)
-    elif tag == "details" and "open" not in node.attrs:
-        out.block(False)
-        for c in node.children:
-            if isinstance(c, Node) and c.tag == "summary":
-                _render(c, out)
-                break
-        out.block(False)
-    elif tag in ("pre", "textarea", "listing"):
-        out.block(True)
-        before, out.preformatted = out.preformatted, True
-        children = node.children
-        if children and isinstance(children[0], str) and children[0].startswith("\n"):
-            children = [children[0][1:], *children[1:]]
-        for c in children:
-            _render(c, out)
-        out.preformatted = before
-        out.block(True)
-    elif tag in ("blockquote", "dd"):
-        out.block(tag != "dd")
-        out.add([f"  {line}" if line else line for line in _lines(node.children)])
-        out.block(tag != "dd")
-    elif tag in BLOCK:
-        out.block(tag in SPACED)
-        for c in node.children:
-            _render(c, out)
-        out.block(tag in SPACED)
-    else:
-        for c in node.children:
-            _render(c, out)
+def _marked(node: Node) -> list:
+    """The children of a list with the marks of its items before them, for lists that are shown as plain blocks."""
+    out: list = []
+    items = [c for c in node.children if isinstance(c, Node) and c.visible() and c.tag == "li"]
+    step = -1 if "reversed" in node.attrs else 1
+    number = _integer(node.attrs.get("start", ""), len(items) if step < 0 else 1)
+    for c in node.children:
+        if not (isinstance(c, Node) and c.tag == "li" and c.visible()):
+            out.append(c)
+            continue
+        number = _integer(c.attrs.get("value", ""), number)
+        out += [("block", False), f"{number}. " if node.tag == "ol" else "- ", *c.children, ("block", False)]
+        number += step
+    return out
+
+
+def _render(node, out: Lines, level: int) -> None:
+    """Elements of any depth: todo has what is left, the next at its end; pairs end what was begun."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.text(node)
+            continue
+        if isinstance(node, tuple):
+            what, value = node
+            if what == "pre":
+                out.preformatted = value
+            else:
+                out.block(value)
+            continue
+        if not node.visible():
+            continue
+        tag, children = node.tag, node.children
+        nested = level < MAX_DEPTH
+        if tag == "br":
+            out.end_line(always=True)
+        elif tag == "hr":
+            out.block(True)
+        elif tag == "input":
+            if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
+                out.text(node.attrs["value"])
+        elif tag in ("ul", "ol", "menu", "dir") and nested:
+            out.block("_nested" not in node.attrs)
+            out.add(_list(node, level + 1))
+            out.block("_nested" not in node.attrs)
+        elif tag == "table" and nested:
+            out.block(True)
+            out.add(_table(node, level + 1))
+            out.block(True)
+        elif tag == "details" and "open" not in node.attrs:
+            out.block(False)
+            todo.append(("block", False))
+            todo += [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+        elif tag in ("pre", "textarea", "listing"):
+            out.block(True)
+            todo += [("block", True), ("pre", out.preformatted)]
+            out.preformatted = True
+            if children and isinstance(children[0], str) and children[0].startswith("\n"):
+                children = [children[0][1:], *children[1:]]
+            todo += reversed(children)
+        elif tag in ("blockquote", "dd") and nested:
+            out.block(tag != "dd")
+            out.add([f"  {line}" if line else line for line in _lines(children, level + 1)])
+            out.block(tag != "dd")
+        elif tag in BLOCK:
+            out.block(tag in SPACED)
+            todo.append(("block", tag in SPACED))
+            todo += reversed(_marked(node) if tag in ("ul", "ol", "menu", "dir") else children)
+        else:
+            todo += reversed(children)
 
 
 def render(html: str | None) -> str | None:

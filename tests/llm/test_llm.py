@@ -401,6 +401,17 @@ def test_html_edges(spark):
     assert [r["text"] for r in got][:3] == [None, "", "x"] and len(got[3]["text"]) == 249_999
 
 
+@pytest.mark.parametrize("n", [149, 151, 3000])
+def test_html_below_many_unclosed_elements(n):
+    body = "x<script>var s=1</script><style>p{}</style><div hidden>secret <font>in</font> more</div><template><b>no</b></template> y</b>z"
+    want = html.render(f"<b>{body}")
+    assert "var s" not in want and "more" not in want
+    assert html.render("<b><font>" + "<span>" * n + body) == want
+    for tag in ("blockquote", "ul><li", "ol><li", "table><tr><td", "dl><dd", "div"):
+        assert [w for w in html.render("".join(f"<{tag}>q{i}" for i in range(n))).split() if w[0] == "q"] == [f"q{i}" for i in range(n)]
+    assert html.render("<blockquote>" * n + "<ol><li>a<li>b").split() == ["1.", "a", "2.", "b"]
+
+
 # ---- 7 sharding ----
 
 
