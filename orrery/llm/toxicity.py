@@ -33,6 +33,8 @@ MAX_TRAIN, MAX_TOKENS, GRAM = 20_000, 50_000, 5
 #: Dirichlet prior: so much for each token, and so much in all by background frequency.
 PRIOR_EACH, PRIOR_ALL = 0.5, 500.0
 Z, MIN_ODDS, DRIFT, THRESHOLD = 1.64, 1.0, -0.25, 0.7
+#: A passage is told where fewer than so many of its score are expected by chance in a text of that length.
+SIGNIFICANCE = 0.05
 #: A token needs so many toxic texts.
 MIN_TEXTS = 3
 
@@ -95,9 +97,12 @@ class Model:
         total = sum(max(0.0, self.rate * s - level) for _, _, s in found)
         return min(50.0, self.surprise(best, n)), math.log1p(total), best
 
+    def expected(self, s: float, n: int) -> float:
+        """How many segments of this score or more chance gives n words."""
+        return self.scale * n * math.exp(-min(self.rate * s, 300.0))
+
     def surprise(self, s: float, n: int) -> float:
-        expected = self.scale * n * math.exp(-min(self.rate * s, 300.0))
-        return -math.log(-math.expm1(-max(expected, 1e-30)))
+        return -math.log(-math.expm1(-max(self.expected(s, n), 1e-30)))
 
     def score(self, found: list, n: int) -> float:
         x = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], self.features(found, n), strict=True))
@@ -216,8 +221,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
-    """docs with _tox: score double, n_segments, best_start, best_end (words, end exclusive).
+    """docs with _tox: score double, n_segments, best_start, best_end (words, end exclusive), passages.
 
+    passages has start, end and score of every segment of which fewer than SIGNIFICANCE
+    are expected by chance, in the order of the text; n_segments is their number. The
+    best segment is given whether it is one of them or not.
     Null and empty texts have no segments and get the score of such texts. Texts are
     judged row by row, whatever their ids.
     """
@@ -230,10 +238,11 @@ def score(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
         for text in texts:
             found, n = scan(own, cache, text)
             best = max(found, key=lambda s: s[2], default=(None, None, 0.0))
-            out.append((own.score(found, n), len(found), best[0], best[1]))
-        return pd.DataFrame(out, columns=["score", "n_segments", "best_start", "best_end"]).astype({"best_start": "Int64", "best_end": "Int64"})
+            told = [{"start": a, "end": b, "score": s} for a, b, s in found if own.expected(s, n) < SIGNIFICANCE]
+            out.append((own.score(found, n), len(told), best[0], best[1], told))
+        return pd.DataFrame(out, columns=["score", "n_segments", "best_start", "best_end", "passages"]).astype({"best_start": "Int64", "best_end": "Int64"})
 
-    return docs.withColumn("_tox", pandas_udf(judge, "score double, n_segments long, best_start long, best_end long")(F.col(text_col)))
+    return docs.withColumn("_tox", pandas_udf(judge, "score double, n_segments long, best_start long, best_end long, passages array<struct<start:long,end:long,score:double>>")(F.col(text_col)))
 
 
 def op10_toxicity(spark, sf_dir):
@@ -242,4 +251,4 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_tox.score", F.when(F.col("_tox.score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "_tox.n_segments", "_tox.best_start", "_tox.best_end")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_tox.score", F.when(F.col("_tox.score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "_tox.n_segments", "_tox.best_start", "_tox.best_end", "_tox.passages")

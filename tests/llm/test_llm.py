@@ -568,6 +568,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(rows) > 300 and len(wrong) <= 0.02 * len(rows)
 
 
+def test_toxicity_tells_every_significant_passage(spark):
+    docs, labels = toxic_tables(spark, 600)
+    model = toxicity.train(docs, labels)
+    clean = "bako rimu telan " * 40
+    text = f"{clean}idiot scumbag vermin idiot {clean}vermin scumbag idiot scumbag vermin {clean}"
+    rows = spark.createDataFrame([(1, text), (2, clean), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["_tox"] for r in toxicity.score(rows, model).collect()}
+    assert [(p["start"], p["end"]) for p in got[1]["passages"]] == [(120, 124), (244, 249)]
+    assert got[1]["n_segments"] == 2 and (got[1]["best_start"], got[1]["best_end"]) == (244, 249)
+    assert got[2]["passages"] == got[3]["passages"] == [] and got[2]["n_segments"] == 0
+    weak = toxicity.Model({t: 0.1 for t in toxicity.tokens(b"weak")} | {t: 30.0 for t in toxicity.tokens(b"strong")})
+    weak.rate, weak.scale = 1.0, 0.01
+    one = spark.createDataFrame([(1, "a weak b c strong d")], "doc_id long, text string")
+    tox = toxicity.score(one, weak).head()["_tox"]
+    assert tox["n_segments"] == 1 and [(p["start"], p["end"]) for p in tox["passages"]] == [(4, 5)]  # "weak" is no passage
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_tables(spark, 300)
     model = toxicity.train(docs, labels)
