@@ -9,16 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; a local folder is made only where that is unset, as in tests."""
+    """A new path below spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine, as in tests, gets a folder of its
+    own; on a cluster that is an error, as executors would not see such a folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/orrery-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors don't matter."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors don't matter.
+
+    The table goes when it is released, or else with the session.
+    """
+    spark, name = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.parquet(name)
+    path, files = _path(spark, name)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out.written_to = name
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote and no later result reads."""
+    for t in tables:
+        path, files = _path(t.sparkSession, t.written_to)
+        files.delete(path, True)
