@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import materialise, release, shared_dir
+
+__all__ = ["WORD", "draw32", "materialise", "n_words", "release", "shared_dir", "table", "text_bytes"]
+
 #: Words are maximal runs of code points that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Only where the setting is absent, as in tests, a local folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/orrery-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage.
-
-    The files outlive lost executors; all columns keep their types.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

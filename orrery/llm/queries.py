@@ -6,7 +6,6 @@ from orrery.llm import chat, decontam, html, jaccard, mixing, quality, sharding,
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_passage_dedup": substring.op2_passage_dedup,
-    "op2_line_dedup": substring.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op5_jaccard": jaccard.op5_jaccard,
@@ -18,7 +17,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
-    "op2_line_dedup": substring.OP2_SQL,
+    "op2_passage_dedup": substring.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_quality": quality.OP4_SQL,
     "op5_jaccard": jaccard.OP5_SQL,

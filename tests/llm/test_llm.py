@@ -76,24 +76,6 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
 # ---- 2 substring dedup ----
 
 
-def test_line_dedup_keeps_the_first(spark):
-    a, b = "this line has more than ten words in it for sure", "and  THIS line has more than ten words in it, too, yes"
-    rows = [(2, f"{a}\nshort\n{b}"), (1, f"x\n{a.upper()}"), (3, b.replace("  ", " ").lower()), (4, None), (5, ""), (6, f"{b}\n{b}")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.repeated_units(df)
-    assert {(r["doc_id"], r["unit"], r["first_doc_id"], r["first_unit"]) for r in got.collect()} == {(2, 0, 1, 1), (3, 0, 2, 2), (6, 0, 2, 2), (6, 1, 2, 2)}
-    texts = dict(rows)
-    assert all(texts[r["doc_id"]][r["start"] : r["stop"]].lower().split() in (a.split(), b.lower().split()) for r in got.collect())
-    clean = {r["doc_id"]: r["text"] for r in substring.remove_units(df, got).collect()}
-    assert clean == {1: texts[1], 2: f"short\n{b}", 3: "", 4: None, 5: "", 6: ""}
-
-
-def test_line_dedup_edges(spark):
-    got = substring.repeated_units(edge_docs(spark))
-    assert {r["doc_id"] for r in got.collect()} == {9}  # the long text of document 4
-    assert substring.repeated_units(empty_docs(spark)).count() == 0
-
-
 def brute_repeats(rows, size=substring.PASSAGE):
     """doc -> word places that lie in a repeat of an earlier window and beyond that window."""
     first, gone = {}, collections.defaultdict(set)
@@ -110,10 +92,19 @@ def check_passages(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     spans = substring.repeated_passages(df)
     got = collections.defaultdict(set)
-    for r in spans.collect():
+    for r in spans.where("not stays").collect():
         got[r["doc_id"]] |= set(range(r["start"], r["stop"]))
     want = brute_repeats(rows)
     assert dict(got) == want
+    places = collections.defaultdict(list)
+    for doc, text in rows:
+        words = (text or "").lower().split()
+        for i in range(len(words) - substring.PASSAGE + 1):
+            places[tuple(words[i : i + substring.PASSAGE])].append((doc, i))
+    again = collections.defaultdict(set)
+    for found in places.values():
+        for doc, i in found if len(found) > 1 else []:
+            again[doc] |= set(range(i, i + substring.PASSAGE))
     clean = {r["doc_id"]: r for r in substring.remove_passages(df, spans).collect()}
     assert len(clean) == len(rows)
     for doc, text in rows:
@@ -121,7 +112,8 @@ def check_passages(spark, rows):
         left = [w for i, w in enumerate((text or "").split()) if i not in want.get(doc, ())]
         assert (r["text"] or "").split() == left
         assert (r["text"] is None) == (text is None)
-        assert sum(len(text[x["start"] : x["stop"]].split()) for x in r["_removed"]) == len(want.get(doc, ()))
+        assert sum(len(text[x["start"] : x["stop"]].split()) for x in r["_cut"]["removed"]) == len(want.get(doc, ())) == r["_cut"]["n_removed"]
+        assert (r["_cut"]["n_repeated"], r["_cut"]["n_words"]) == (len(again.get(doc, ())), len((text or "").split()))
     return want
 
 
@@ -141,8 +133,6 @@ def test_passages_inside_longer_lines(spark):
 def test_passages_of_short_lines(spark):
     verse = [f"v{i} of nine" for i in range(20)]
     rows = [(1, "one head\n" + "\n".join(verse)), (2, "\n\n".join(verse) + "\nan end of its own"), (3, "\n".join(verse[:16]) + "\nx"), (4, "\n".join(verse[3:]).replace(" ", "\n"))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert substring.repeated_units(df).count() == 0
     want = check_passages(spark, rows)
     assert want == {2: set(range(60)), 4: set(range(51))}
 
@@ -150,12 +140,38 @@ def test_passages_of_short_lines(spark):
 def test_passages_edges(spark):
     df = edge_docs(spark)
     spans = substring.repeated_passages(df)
-    assert {r["doc_id"] for r in spans.collect()} == {9}  # the long text of document 4
-    clean = substring.remove_passages(df, spans)
+    assert {r["doc_id"] for r in spans.where("not stays").collect()} == {9}  # the long text of document 4
+    clean = substring.remove_passages(df.withColumn("_cut", F.lit("clash")), spans)
     assert clean.count() == 10 and [r["text"].strip() for r in clean.where("doc_id = 9").collect()] == [""]
     assert substring.repeated_passages(empty_docs(spark)).count() == 0
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    rows = [(5, f"first {p}"), (5, f"a whole other text that must stay here, {p} and this too"), (5, "none of it"), (5, f"first {p}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r["text"] for r in substring.remove_passages(df, substring.repeated_passages(df)).collect()]
+    whole = [t for t in texts if "p30" in t]  # one text keeps it: as often as that row is repeated
+    assert len(texts) == 4 and len(set(whole)) == 1 and "none of it" in texts
+    assert any(t.startswith("a whole other text that must stay here,") and t.endswith(" and this too") for t in texts)
+
+
+def test_planted_passages_are_caught_and_clean_texts_stay(spark):
+    rng, rows, planted = random.Random(11), [], set()
+    text = lambda n: " ".join(f"u{rng.randrange(10**9)}" + rng.choice(["", ",", "\n"]) for _ in range(n))
+    for k in range(60):
+        passage = text(rng.choice([51, 60, 120]))
+        for _ in range(rng.choice([2, 3, 9])):
+            planted.add(len(rows))
+            rows.append((len(rows), f"{text(rng.randrange(80))} {passage} {text(rng.randrange(80))}"))
+        rows.append((len(rows), f"{text(30)} {' '.join(passage.split()[:50])} {text(40)}"))
+        rows.append((len(rows), text(150)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.remove_passages(df, substring.repeated_passages(df)).select("doc_id", "_cut.n_repeated", "text").collect()
+    assert {r["doc_id"] for r in got if r["n_repeated"]} == planted
+    assert all(r["text"] == rows[r["doc_id"]][1] for r in got if r["doc_id"] not in planted)
+
+
 # ---- 3 mixing ----
 
 
