@@ -314,7 +314,7 @@ def test_components_are_brute_force(spark, seed, n_base, copies, lengths):
 
 @pytest.mark.parametrize("singles", [0, 0b1111111])
 def test_no_link_is_lost_by_the_filter_or_the_index(singles):
-    """Posts of linked sets agree in L - H at least; the one-deletion index finds each linked pair by any H + 1 units."""
+    """Linked sets have as many posts in common as each needs; the one-deletion index finds each linked pair by any H + 1 units."""
     rng = random.Random(9)
     for _ in range(150):
         n = rng.choice([1, 2, 5, 17, 63, 64, 200, 255, 256, 700])
@@ -334,7 +334,7 @@ def test_no_link_is_lost_by_the_filter_or_the_index(singles):
             hx, hy = dict(jaccard.bands(len(a)))[band], dict(jaccard.bands(len(b)))[band]
             p, q = (jaccard.posts(s, band, h, singles) for s, h in ((x, hx), (y, hy)))
             common = len(np.intersect1d(p, q))
-            assert common >= len(p) - hx and common >= len(q) - hy
+            assert common >= max(jaccard.needed(len(a), band), jaccard.needed(len(b), band))
             seg, less, value = jaccard.index_rows(x, band, singles)
             _, _, other = jaccard.index_rows(y, band, singles)
             units = [(s, v) for s, le, v in zip(seg, less, value, strict=True) if not le]
@@ -361,6 +361,46 @@ def test_bands_have_room():
         assert jaccard.too_few(a) == 0
 
 
+@pytest.mark.parametrize("band", [1, 3, 4])
+def test_what_a_set_needs_is_the_least_over_its_partners(band):
+    first, end = 4**band, 4 ** (band + 1)
+    for s in {-(-3 * first // 4), first - 1, first, first + 1, (first + end) // 2, end - 1}:
+        least = []
+        for t in range(1, end):
+            if max(s, t) >= first and 4 * t >= 3 * s and 4 * s >= 3 * t:
+                count = [jaccard.post_count(dict(jaccard.bands(x))[band]) for x in (s, t)]
+                least.append(min(count) - 25 * (s + t) // 175)
+        assert jaccard.needed(s, band) == min(least) >= 1
+
+
+def test_common_posts_go_another_way_to_the_same_links(spark, monkeypatch):
+    texts = near_texts(5, 30, [1, 4], [20, 60, 90])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute_components(texts)
+
+
+def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
+    texts = near_texts(6, 40, [1, 2], [12, 30])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = jaccard.digest
+    monkeypatch.setattr(jaccard, "digest", lambda a: (whole(a)[0] % 16, whole(a)[1]))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute_components(texts)
+
+
+def test_one_text_very_often(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    df = df.unionByName(spark.createDataFrame([(-1, text + " and one more"), (-2, "something else")], "doc_id long, text string"))
+    posts = jaccard._scanned(jaccard._texts(df, "doc_id", "text"), 0, frozenset()).where("tag >= 0")
+    assert posts.count() < 1000  # once from each task
+    assert {tuple(r) for r in jaccard.near_duplicates(df).groupBy("component_id").count().collect()} == {(-1, 100_001), (-2, 1)}
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [-2, -1]
+    same = df.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert jaccard.keep_one(same).count() == 2
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.near_duplicates(edge_docs(spark)).collect()
     assert len(rows) == 10
