@@ -553,10 +553,12 @@ def brute_contamination(text, items):
     return len(words), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block", [10, 1_000_000])
-def test_contamination_is_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
-    rng = random.Random(block)
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+def test_contamination_is_brute_force(spark, bits, monkeypatch):
+    """Also with a filter that lets nearly all pass, as a benchmark that outgrows it makes it."""
+    monkeypatch.setattr(decontam, "MAX_BITS", bits)
+    monkeypatch.setattr(decontam, "CHUNK", min(bits, 1 << 16))
+    rng = random.Random(bits)
     word = lambda: rng.choice("abcdefg")
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 4, 7, 13, 14, 20])))) for i in range(12)] + [(3, "x y z"), (None, "q, R!s"), (50, None), (51, "... !!")]
     texts = [" ".join(word() for _ in range(rng.choice([0, 1, 5, 30, 80]))) for _ in range(40)]
@@ -573,6 +575,24 @@ def test_contamination_edges(spark):
     assert decontam.contamination(edge_docs(spark), bench).where("_decon.contaminated").count() == 3
     assert decontam.contamination(edge_docs(spark), bench.limit(0)).where("_decon.n_hit > 0").count() == 0
     assert decontam.keep_clean(empty_docs(spark), bench).count() == 0
+    assert decontam.contamination(edge_docs(spark).withColumn("_decon", F.lit("clash")).withColumn("key", F.lit(1)), bench).where("_decon.contaminated").count() == 3
+
+
+def test_benchmark_of_many_items_is_broadcast_as_a_filter_alone(spark):
+    """The filter's size is bounded; it passes all that it should."""
+    h = quality.mixed(np.arange(40_000))
+    df = spark.createDataFrame([(int(v),) for v in h.view(np.int64)], "shingle long")
+    packed = decontam._filter(df)
+    assert 8 * len(packed) == 1 << 20 and decontam._may_hold(packed, h).all()
+    assert decontam._may_hold(packed, quality.mixed(np.arange(50_000, 90_000))).mean() < 0.02
+
+
+def test_a_very_common_text_and_window(spark):
+    p = " ".join(f"p{i}" for i in range(30))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(f"{p} and more")).otherwise(F.concat(F.lit(f"no {p} "), F.col("id"))).alias("text"))
+    bench = spark.createDataFrame([(i, p) for i in range(50)], "item_id long, text string")
+    got = decontam.contamination(docs, bench).select("_decon.n_hit", F.size("_decon.items").alias("n")).distinct().collect()
+    assert [tuple(r) for r in got] == [(30, 50)]
 
 
 # ---- 10 toxicity ----
