@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.sources.shared import materialise, release, shared_dir
 
-__all__ = ["WORD", "draw32", "materialise", "n_words", "release", "shared_dir", "table", "text_bytes"]
+__all__ = ["WORD", "draw32", "free_name", "materialise", "n_words", "release", "shared_dir", "table", "text_bytes"]
 
 #: Words are maximal runs of code points that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame) -> str:
+    """A name, of underscores, that no column of df begins with."""
+    return "_" * (1 + max(map(len, df.columns), default=0))
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

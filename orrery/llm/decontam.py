@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from orrery.llm.common import materialise, release, table
+from orrery.llm.common import free_name, materialise, release, table
 from orrery.llm.quality import mixed
 
 WINDOW, SHINGLE = 13, 5
@@ -230,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col="text") -> Dat
     """
     found = hits(docs, benchmark, text_col).drop("spans")
     size = found.agg(F.count("*") + F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
-    mark = "_" * (1 + max(map(len, docs.columns)))
+    mark = free_name(docs)
     found = found.select(F.col("key").alias(mark), F.struct("n_hit", "items").alias(mark + "hit"))
     own = docs.drop("_decon")
     rows = own.join(F.broadcast(found) if size <= BROADCAST_ROWS else found, F.md5(F.col(text_col)) == F.col(mark), "left")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from orrery.llm.common import materialise, release, table
+from orrery.llm.common import free_name, materialise, release, table
 
 #: A passage of over 50 words holds a window of this many.
 PASSAGE = 51
@@ -213,13 +213,14 @@ def remove_passages(docs: DataFrame, spans: DataFrame, rank_col="doc_id", id_col
         return pd.DataFrame([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], columns=["text", "removed", "n_words", "n_repeated", "n_removed"])
 
     kind = "text string, removed array<struct<start:int,stop:int>>, n_words long, n_repeated long, n_removed long"
-    mine = [f"_who_{c}" for c in WHO]
-    by_doc = spans.groupBy(*[F.col(c).alias(m) for c, m in zip(WHO, mine, strict=True)]).agg(F.collect_set(F.struct("start", "stop", "stays")).alias("_spans"))
+    mark = free_name(docs)
+    by_doc = spans.groupBy(*[F.col(c).alias(f"{mark}{c}") for c in WHO]).agg(F.collect_set(F.struct("start", "stop", "stays")).alias(f"{mark}spans"))
     on = F.lit(True)
-    for own, m in zip([F.col(rank_col), F.col(id_col), F.xxhash64(text_col)], mine, strict=True):
-        on = on & own.eqNullSafe(F.col(m))
-    done = docs.drop("_cut", "_spans", *mine).join(by_doc, on, "left").withColumn("_cut", pandas_udf(cut, kind)(F.col(text_col), F.col("_spans")))
-    return done.withColumns({text_col: F.col("_cut.text"), "_cut": F.col("_cut").dropFields("text")}).drop("_spans", *mine)
+    for own, c in zip([F.col(rank_col), F.col(id_col), F.xxhash64(text_col)], WHO, strict=True):
+        on = on & own.eqNullSafe(F.col(f"{mark}{c}"))
+    done = docs.drop("_cut").join(by_doc, on, "left").withColumn("_cut", pandas_udf(cut, kind)(F.col(text_col), F.col(f"{mark}spans")))
+    done = done.withColumns({text_col: F.col("_cut.text"), "_cut": F.col("_cut").dropFields("text")})
+    return done.drop(f"{mark}spans", *[f"{mark}{c}" for c in WHO])
 
 
 def op2_passage_dedup(spark, sf_dir):
@@ -237,7 +238,8 @@ def op2_passage_dedup(spark, sf_dir):
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP2_SQL = rf"""
-WITH w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^ 	-]+'), []) AS ws FROM documents),
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^ 	-
+]+'), []) AS ws FROM documents),
 win AS (SELECT doc_id, i - 1 AS place, md5(array_to_string(list_slice(ws, i, i + {PASSAGE - 1}), ' ')) AS g
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {PASSAGE - 2})) AS i FROM w)),
 rep AS (SELECT * FROM (SELECT *, min({{'d': doc_id, 'p': place}}) OVER (PARTITION BY g) AS f, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
@@ -246,8 +248,11 @@ span AS (SELECT doc_id, place, place + {PASSAGE} AS stop, f.d = doc_id AND f.p =
 edge AS (SELECT doc_id, k, sum(a) AS a, sum(b) AS b FROM (
     SELECT doc_id, place AS k, 1 AS a, 0 AS b FROM span UNION ALL SELECT doc_id, stop, -1, 0 FROM span
     UNION ALL SELECT doc_id, start, 0, 1 FROM span WHERE NOT stays AND start < stop UNION ALL SELECT doc_id, stop, 0, -1 FROM span WHERE NOT stays AND start < stop) GROUP BY doc_id, k),
-piece AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ 	-]+|[^ 	-]+') AS ps FROM documents)),
-sorted AS (SELECT *, regexp_matches(piece, '^[^ 	-]') AS word, sum(length(piece)) OVER o - length(piece) AS start FROM piece WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+piece AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ 	-
+]+|[^ 	-
+]+') AS ps FROM documents)),
+sorted AS (SELECT *, regexp_matches(piece, '^[^ 	-
+]') AS word, sum(length(piece)) OVER o - length(piece) AS start FROM piece WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, count(*) FILTER (word) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM sorted),
 marked AS (SELECT n.*, word AND sum(CASE WHEN word THEN coalesce(a, 0) ELSE 0 END) OVER o > 0 AS again, word AND sum(CASE WHEN word THEN coalesce(b, 0) ELSE 0 END) OVER o > 0 AS gone
     FROM numbered n LEFT JOIN edge e ON e.doc_id = n.doc_id AND e.k = n.k WINDOW o AS (PARTITION BY n.doc_id ORDER BY i)),
