@@ -8,6 +8,7 @@ by one in a single scan: no shuffle, and one page's tree is all that is held.
 
 from __future__ import annotations
 
+import bisect
 import re
 from html.parser import HTMLParser
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from orrery.llm.common import table
+
 # HTML element names by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("area audio base canvas datalist embed head iframe link meta noscript object param script select source style svg template title track video".split())
@@ -30,8 +33,11 @@ TABLE_SCOPE = frozenset({"table"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 BARRIER = frozenset({"td", "th", "caption", "table"})
 MAX_DEPTH = 150  # of lists, tables and quotes in each other; deeper ones are shown as plain blocks, without columns and more indents
-CELL_PAD = 40  # wider cells are not padded
+CELL_WIDTH = 60  # lines of cells with others to their right are wrapped at blanks beyond it; a longer word makes its column wider, up to
+WORD_WIDTH = 200  # this: the line of a still longer word goes beyond its column
 GAP = "  "
+# The most that HTML lets a cell span.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
@@ -247,12 +253,11 @@ def _table(node: Node, level: int) -> list[str]:
             out += _lines([c], level) if c.strip() else []
         elif c.visible() and c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
             out += _lines([c], level)
-    grid, busy = [], {}  # busy: columns taken by a cell from above -> rows left
+    grid: list[list[tuple[int, int, list[str]]]] = []  # rows of (column, columns spanned, lines)
+    busy: list[tuple[int, int, int]] = []  # columns [a, b) taken by a cell from above, and rows left
     for row in _rows(node):
-        cells: dict[int, list[str]] = {}
-        at = 0
-        taken = busy
-        busy = {k: v - 1 for k, v in taken.items() if v > 1}
+        cells, taken, at, j = [], sorted(busy), 0, 0
+        busy = [(a, b, left - 1) for a, b, left in taken if left > 1]
         for c in row.children:
             if isinstance(c, str):
                 if c.strip():
@@ -260,29 +265,60 @@ def _table(node: Node, level: int) -> list[str]:
                 continue
             if not c.visible():
                 continue
-            while at in taken:
-                at += 1
-            cells[at] = _lines(c.children, level) if c.tag in ("td", "th") else _lines([c], level)
-            width = min(max(_integer(c.attrs.get("colspan", ""), 1), 1), 100)
-            down = min(max(_integer(c.attrs.get("rowspan", ""), 1), 1), 1000)
-            for k in range(at, at + width):
-                if down > 1:
-                    busy[k] = down - 1
-            at += width
+            while j < len(taken) and taken[j][0] <= at:
+                at = max(at, taken[j][1])
+                j += 1
+            wide = min(max(_integer(c.attrs.get("colspan", ""), 1), 1), MAX_COLSPAN)
+            down = min(_integer(c.attrs.get("rowspan", ""), 1) or MAX_ROWSPAN, MAX_ROWSPAN)
+            cells.append((at, wide, _lines(c.children if c.tag in ("td", "th") else [c], level)))
+            if down > 1:
+                busy.append((at, at + wide, down - 1))
+            at += wide
         grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for k, lines in cells.items():
-            wide = max(map(len, lines), default=0)
-            if wide <= CELL_PAD:
-                widths[k] = max(widths.get(k, 0), wide)
+    return out + _aligned(grid)
+
+
+def _wrapped(line: str) -> list[str]:
+    """The line in parts of CELL_WIDTH at most, cut at blanks alone."""
+    if len(line) <= CELL_WIDTH:
+        return [line]
+    parts, now = [], ""
+    for word in line.split(" "):
+        if now.strip() and len(now) + 1 + len(word) > CELL_WIDTH:
+            parts.append(now.rstrip(" "))
+            now = word
+        else:
+            now = f"{now} {word}" if now else word
+    return [*parts, now]
+
+
+def _aligned(grid: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """The rows of a table as lines. Cells begin where their column does; the last of a row is as wide as it likes."""
+    starts = sorted({at for cells in grid for at, _, _ in cells})
+    number = {at: i for i, at in enumerate(starts)}
+    widths = [0] * len(starts)
+    rows = []
     for cells in grid:
-        height, last = max((len(v) for v in cells.values()), default=0), max(cells, default=-1)
-        for i in range(height):
-            line = []
-            for k in range(last + 1):
-                part = cells.get(k, [])
-                line.append((part[i] if i < len(part) else "").ljust(widths.get(k, 0)))
+        row = {}
+        for at, wide, lines in cells:
+            i, stop = number[at], bisect.bisect_left(starts, at + wide)
+            if stop < len(starts):
+                lines = [part for line in lines for part in _wrapped(line)]
+                if stop == i + 1:
+                    widths[i] = max(widths[i], max((len(x) for x in lines if len(x) <= WORD_WIDTH), default=0))
+            row[i] = (stop, lines)
+        rows.append(row)
+    room_of = lambda i, stop: sum(widths[i:stop]) + len(GAP) * (stop - i - 1)
+    for stop, i, lines in sorted(((stop, i, lines) for row in rows for i, (stop, lines) in row.items() if i + 1 < stop < len(starts)), key=lambda x: (x[0] - x[1], x[1])):
+        widths[stop - 1] += max(0, max((len(x) for x in lines if len(x) <= WORD_WIDTH), default=0) - room_of(i, stop))
+    out = []
+    for row in rows:
+        for k in range(max((len(lines) for _, lines in row.values()), default=0)):
+            line, i, last = [], 0, max(row)
+            while i <= last:
+                stop, lines = row.get(i, (i + 1, []))
+                line.append((lines[k] if k < len(lines) else "").ljust(room_of(i, stop)))
+                i = stop
             out.append(GAP.join(line).rstrip(" "))
     return out
 
@@ -371,7 +407,10 @@ def extract(html: Column) -> Column:
     """The visible text of each page: blocks on lines of their own, a blank line around
     spaced ones, list marks, table cells in columns.
 
-    Pages of any length and depth are rendered whole; malformed pages are repaired by
+    Cells of a column begin at the same place of their lines; those with others to their
+    right are wrapped at blanks. Pages of any length and depth are rendered whole, with all visible
+    text and none that is hidden; lists, tables and quotes beyond MAX_DEPTH in each other
+    are shown as blocks without more indents and columns. Malformed pages are repaired by
     implied tags. Rows are rendered one by one, so that nulls in other columns, ties,
     repeated rows and empty tables need no rule.
     """
@@ -383,7 +422,5 @@ def extract(html: Column) -> Column:
 
 
 def op6_html_extraction(spark, sf_dir):
-    from orrery.llm.common import table
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pages.select("page_id", "url", extract(F.col("html")).alias("text"))
