@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import draw32, materialise, n_words
+from orrery.llm.common import draw32, free_name, materialise, n_words, table
 
 #: Slices of the draw for which words are counted: the cut of a source is moved
 #: to the slice where its drawn words come nearest to the wanted fraction.
@@ -55,28 +55,33 @@ def _slice(key: Column, seed: str) -> Column:
     return F.shiftright(draw32(key, seed), 20).cast("int")
 
 
-def plan_mix(sizes: DataFrame, seed: str, **params) -> DataFrame:
-    """Per source: source_size, target, copies (whole) and cut.
+def plan_mix(sizes: DataFrame, **params) -> DataFrame:
+    """Per source: source_size, target, copies (whole), fraction and cut.
 
     sizes has columns source, size, slice. It is summed by source and slice once; all
     else works on those sums, written to the shared folder. The extra copy goes to documents whose
-    slice is below cut. The cut starts from the fraction of the rate and is the
-    slice border at which the source's words below it come nearest to fraction x
-    words, so that each document's probability is the fraction, and the source's
-    sum does not stray by the luck of a few long documents.
+    slice is below cut, so that a document's chance is cut / SLICES. Over seeds that is
+    the fraction of the rate, for long documents and short ones alike; for the seed at hand
+    the cut is the slice border at which the source's words below it come
+    nearest to fraction x words, so that the sum does not stray by the luck of a few
+    long documents. It lies no further from the fraction than plain draws would let the
+    words stray: |cut / SLICES - fraction| <= max over borders of
+    |share of words below the border - border / SLICES| + the heaviest slice's share,
+    which is about 1 / sqrt(n) for n documents of one size.
     """
     cells = materialise(sizes.groupBy("source", "slice").agg(F.sum("size").alias("size")))
     targets = source_targets(cells, **params)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("copies", F.floor(rate).cast("long")).withColumn("_want", F.col("target") - F.col("copies") * F.col("source_size"))
+    targets = targets.withColumn("copies", F.floor(rate).cast("long")).withColumn("fraction", rate - F.col("copies")).withColumn("_want", F.col("target") - F.col("copies") * F.col("source_size"))
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_upto", F.sum("size").over(upto))
     joined = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    joined = joined.select("t.source", "source_size", "target", "copies", "_want", "slice", "_upto")
+    own = ["source_size", "target", "copies", "fraction", "_want"]
+    joined = joined.select("t.source", *own, "slice", "_upto")
     nearest = F.min(F.struct(F.abs(F.col("_upto") - F.col("_want")).alias("gap"), (F.col("slice") + 1).alias("cut")))
-    plan = joined.groupBy("source", "source_size", "target", "copies", "_want").agg(nearest.alias("_best"))
+    plan = joined.groupBy("source", *own).agg(nearest.alias("_best"))
     cut = F.when(F.col("_best.gap") < F.col("_want"), F.col("_best.cut")).otherwise(F.lit(0))
-    return plan.select(F.col("source").alias("_source"), "source_size", "target", "copies", cut.alias("cut"))
+    return plan.select("source", "source_size", "target", "copies", "fraction", cut.alias("cut"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", id_col="doc_id", text_col="text", source_col="source", **params) -> DataFrame:
@@ -84,25 +89,26 @@ def mix(docs: DataFrame, seed: str = "mix", id_col="doc_id", text_col="text", so
 
     Null text and empty text have size 0; null sources form one source, the last.
     Rows with equal ids get equal draws. An empty table gives an empty result.
-    Columns of docs that carry the names of results are replaced by the results.
+    Columns of docs that carry the names of results are replaced by the results;
+    others may have any name.
     """
-    clash = [c for c in ("size", "source_size", "target", "copies") if c in docs.columns]
-    base = docs.drop(*clash).withColumns({"size": n_words(F.col(text_col)), "_slice": _slice(F.col(id_col), seed)})
-    sizes = base.select(F.col(source_col).alias("source"), "size", F.col("_slice").alias("slice"))
-    plan = plan_mix(sizes, seed, **params)
-    out = base.join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    copies = F.col("copies") + F.when(F.col("_slice") < F.col("cut"), 1).otherwise(0)
-    return out.withColumn("copies", copies).drop("_source", "_slice", "cut")
+    mark, results = free_name(docs), ["size", "source_size", "target", "copies"]
+    base = docs.withColumns({mark + "size": n_words(F.col(text_col)), mark + "slice": _slice(F.col(id_col), seed)})
+    plan = plan_mix(base.select(F.col(source_col).alias("source"), F.col(mark + "size").alias("size"), F.col(mark + "slice").alias("slice")), **params)
+    plan = plan.select(*[F.col(c).alias(mark + "plan_" + c) for c in plan.columns])
+    out = base.join(plan, F.col(source_col).eqNullSafe(F.col(mark + "plan_source")), "left")
+    copies = F.col(mark + "plan_copies") + F.when(F.col(mark + "slice") < F.col(mark + "plan_cut"), 1).otherwise(0)
+    made = [F.col(mark + "size").alias("size"), F.col(mark + "plan_source_size").alias("source_size"), F.col(mark + "plan_target").alias("target"), copies.alias("copies")]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], *made)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row as often as its column copies says; the columns size .. copies go."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "size", "source_size", "target", "copies")
+    copy = free_name(mixed)
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(copy, "size", "source_size", "target", "copies")
 
 
 def op3_mixing(spark, sf_dir):
-    from orrery.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = (F.col("copies") * F.col("size")).cast("long")
     return mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
