@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, text_bytes
+from orrery.llm.common import free_name, materialise, release, table, text_bytes
 
 KEY_BITS, FIRST_BITS, NEXT_BITS = 60, 12, 8
 #: Each row counts its text and so many bytes for the frame around it.
@@ -31,6 +31,15 @@ def text_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def id_number(docs: DataFrame, id_col: str) -> Column:
+    """A whole number below 2^62 for each id: whole numbers below 2^61 are their own, others get a hash; null is the least."""
+    ident = F.col(id_col)
+    hashed = F.shiftright(F.xxhash64(ident), 3)
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        hashed = F.when(ident.between(-(2**61), 2**61), ident.cast("long")).otherwise(hashed)
+    return F.when(ident.isNull(), F.lit(-(2**62))).otherwise(hashed)
+
+
 def _literal_case(points: list, holds, lo: int = 0) -> Column:
     """Number of points at or below the row, as a balanced tree of comparisons."""
     if not points:
@@ -131,22 +140,16 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.02, id_col="do
 
     Shards hold nearly equal bytes: each boundary is off by at most the tolerance or
     half a row. Null text has size FRAME_BYTES and the CRC of no bytes; a null id
-    counts as the least. Rows with one id and one text are never parted; rows that
+    counts as the least. Ids that are no whole numbers are told apart by a hash. Rows
+    with one id and one text are never parted; rows that
     are equal in both get adjacent slots in any order. An empty table gives no rows.
-    Columns of docs that carry the names of results are replaced by the results.
+    Columns of docs that carry the names of results are replaced by the results;
+    others may have any name.
     """
-    docs = docs.drop(*[c for c in ("size", "text_crc32", "shard", "slot") if c in docs.columns])
-    text = F.col(text_col)
-    least = F.lit(-(2**62))
-    keyed = docs.withColumns(
-        {
-            "size": text_bytes(text) + FRAME_BYTES,
-            "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
-            "_key": text_key(text),
-            "_id": F.coalesce(F.col(id_col).cast("long"), least),
-        }
-    )
-    narrow = materialise(keyed.select(F.col("_key").alias("key"), F.col("_id").alias("id"), "size"))
+    mark, results = free_name(docs), ["size", "text_crc32", "shard", "slot"]
+    text, size, key, ident = F.col(text_col), F.col(mark + "size"), F.col(mark + "key"), F.col(mark + "id")
+    keyed = docs.withColumns({mark + "size": text_bytes(text) + FRAME_BYTES, mark + "key": text_key(text), mark + "id": id_number(docs, id_col)})
+    narrow = materialise(keyed.select(key.alias("key"), ident.alias("id"), size.alias("size")))
     cuts = splitters(narrow, shards, tolerance)
 
     def of(key: Column, ident: Column) -> Column:
@@ -156,25 +159,27 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.02, id_col="do
 
         return _literal_case(cuts, holds).cast("int")
 
-    part = lambda ident: F.pmod(ident, F.lit(PARTS)).cast("int")
-    counts = narrow.select(of(F.col("key"), F.col("id")).alias("shard"), part(F.col("id")).alias("_part")).groupBy("shard", "_part").count()
-    start = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("shard").alias("_s"), F.col("_part").alias("_p"), start.alias("_start"))
-    out = keyed.withColumns({"shard": of(F.col("_key"), F.col("_id")), "_part": part(F.col("_id"))})
-    place = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_key", "_id")) - 1
-    out = out.withColumn("_n", place)
-    out = out.join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))  # shards x PARTS rows at most
-    return out.withColumn("slot", (F.col("_start") + F.col("_n")).cast("long")).drop("_key", "_id", "_part", "_n", "_s", "_p", "_start")
+    def part(key: Column, ident: Column) -> Column:
+        return (F.conv(F.substring(F.md5(F.concat_ws("|", ident, key)), 1, 4), 16, 10).cast("int") % PARTS).cast("int")
+
+    counts = narrow.select(of(F.col("key"), F.col("id")).alias("shard"), part(F.col("key"), F.col("id")).alias("part")).groupBy("shard", "part").count()
+    start = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialise(counts.select(F.col("shard").alias(mark + "s"), F.col("part").alias(mark + "p"), start.alias(mark + "start")))  # shards x PARTS rows at most
+    release(narrow)
+    out = keyed.withColumns({mark + "shard": of(key, ident), mark + "part": part(key, ident)})
+    place = F.row_number().over(Window.partitionBy(mark + "shard", mark + "part").orderBy(key, ident)) - 1
+    out = out.withColumn(mark + "n", place)
+    out = out.join(F.broadcast(starts), (F.col(mark + "shard") == F.col(mark + "s")) & (F.col(mark + "part") == F.col(mark + "p")))
+    made = [size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.col(mark + "shard").alias("shard"), (F.col(mark + "start") + F.col(mark + "n")).cast("long").alias("slot")]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], *made)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in the order of their slots."""
+    """One folder for each shard, rows in the order of their slots. The folder must not exist; an empty table writes no shard."""
     sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark, sf_dir):
-    from orrery.llm.common import table
-
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -209,7 +214,7 @@ sh_cut AS (
     JOIN sh_cum c ON c.k = a.k AND c.below <= a.target AND a.target < c.below + c.s WHERE least(a.before, a.after) > 0.02::DOUBLE * a.total / 40),
 sh_cuts AS (SELECT list({{'k': k, 'id': id}}) AS cuts FROM sh_cut),
 sh_dealt AS (SELECT b.*, coalesce(len(list_filter(cuts, lambda c: c.k < b.k OR (c.k = b.k AND c.id <= b.id))), 0)::INT AS shard FROM sh_base b, sh_cuts),
-shard_rows AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY ((id % 64) + 64) % 64, k, id) - 1)::BIGINT AS slot FROM sh_dealt)"""
+shard_rows AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(id::VARCHAR || '|' || k::VARCHAR), 1, 4))::INT % 64, k, id) - 1)::BIGINT AS slot FROM sh_dealt)"""
 
 
 OP7_SQL = f"""WITH {sharding_sql()} SELECT doc_id, size, {crc32_sql("coalesce(text, '')")}::BIGINT AS text_crc32, 'bytes' AS law, shard, slot, NULL::INT AS grown_shard FROM shard_rows"""
