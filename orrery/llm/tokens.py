@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, shared_dir
+from orrery.llm.common import materialise, shared_dir, table
 
 BLOCK_BYTES = 4 << 20
 #: The tokenizer of the query: a rank file, its split pattern and its free id.
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, ranks: bytes, eod: int = EOD,
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}")
                 for text in batch["text"]:
-                    ids = encode(text) if text else []
+                    ids = encode(text) if isinstance(text, str) and text else []
                     ids.append(eod)
                     out.write(np.array(ids, dtype).tobytes())
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "file": name, "ordinal": np.arange(n, n + len(batch), dtype=np.int64)})
@@ -69,8 +69,8 @@ def write_token_files(docs: DataFrame, path: str, ranks: bytes, eod: int = EOD,
             if out is not None:
                 out.close()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialise(source.mapInPandas(write, "doc_id long, file string, ordinal long"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return materialise(source.mapInPandas(write, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, file string, ordinal long"))
 
 
 def list_blocks(spark: SparkSession, path: str, files: DataFrame, block_bytes: int = BLOCK_BYTES, dtype: str = "<u2") -> DataFrame:
@@ -138,6 +138,4 @@ def count_tokens(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
 
 
 def op1_token_counts(spark, sf_dir):
-    from orrery.llm.common import table
-
     return count_tokens(table(spark, sf_dir, "documents"))
