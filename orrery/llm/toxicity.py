@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from orrery.llm.common import materialise, table
 from orrery.llm.decontam import split_words
 
 MAX_TRAIN, MAX_TOKENS, GRAM = 20_000, 50_000, 5
@@ -156,34 +157,42 @@ def learn_tokens(rows: DataFrame) -> dict[bytes, float]:
     return {bytes(r["token"]): float(r["score"]) for r in scored.orderBy(F.desc("score"), "token").limit(MAX_TOKENS).collect()}
 
 
-def _segment_rows(rows: DataFrame, model: Model) -> list:
-    """For each text of the calibration: toxic, words and segment scores. At most MAX_TRAIN short rows."""
+def _scan_rows(rows: DataFrame, model: Model, schema: str, tell) -> DataFrame:
+    """tell(model, toxic, segments, words) of each text with column toxic, one tuple for each."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def found(batches):
         own = shared.value
         cache = own.word_scores()
         for batch in batches:
-            out = []
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                segs, n = scan(own, cache, text)
-                hist = [s for _, _, s in segs]
-                out.append((int(toxic), n, hist, float(sum(v for v in hist))))
-            yield pd.DataFrame(out, columns=["toxic", "n", "segments", "all"])
-
-    return rows.select("text", "toxic").mapInPandas(found, "toxic int, n long, segments array<double>, all double").collect()
-
-
-def calibrate(model: Model, rows: list) -> Model:
-    """Sets lambda, K and the logistic weights from texts that gave no log-odds."""
-    clean = [r for r in rows if not r["toxic"]]
-    words = sum(r["n"] for r in clean) + 1.0
-    # The scores of chance segments fall off exponentially; one is added so that K > 0.
-    chance = [s for r in clean for s in r["segments"]] + [MIN_ODDS]
-    model.rate = len(chance) / sum(chance)
-    model.scale = len(chance) / words
-    x = np.array([[1.0, *model.features([(0, 0, s) for s in r["segments"]], r["n"])] for r in rows]).reshape(-1, 4)
-    y = np.array([float(r["toxic"]) for r in rows])
+            yield pd.DataFrame([tell(own, int(t), *scan(own, cache, text)) for text, t in zip(batch["text"], batch["toxic"], strict=True)], columns=names)
+
+    return rows.select("text", "toxic").mapInPandas(found, schema)
+
+
+def chance(parts: list[tuple[DataFrame, Model]]) -> tuple[float, float]:
+    """lambda and K, from the segments of clean texts: their scores fall off exponentially."""
+    tell = lambda _, toxic, found, n: (0, 0.0, 0) if toxic else (len(found), float(sum(s for *_, s in found)), n)
+    count, total, words = 1, MIN_ODDS, 1.0  # one segment is added so that K > 0
+    for rows, model in parts:
+        r = _scan_rows(rows, model, "count long, total double, words long", tell).agg(F.sum("count"), F.sum("total"), F.sum("words")).first()
+        count, total, words = count + (r[0] or 0), total + (r[1] or 0.0), words + (r[2] or 0)
+    return count / total, count / words
+
+
+def calibrate(model: Model, parts: list[tuple[DataFrame, Model]]) -> Model:
+    """Sets lambda, K and the logistic weights of model from texts that gave no log-odds to the models of parts.
+
+    What comes to the driver is four numbers for each of at most MAX_TRAIN texts.
+    """
+    model.rate, model.scale = chance(parts)
+    told = []
+    for rows, other in parts:
+        other.rate, other.scale = model.rate, model.scale
+        told += _scan_rows(rows, other, "toxic int, a double, b double, c double", lambda m, toxic, found, n: (toxic, *m.features(found, n))).collect()
+    x = np.array([[1.0, r["a"], r["b"], r["c"]] for r in told]).reshape(-1, 4)
+    y = np.array([float(r["toxic"]) for r in told])
     w = logistic(x, y)
     while (w[1:] < 0).any():  # evidence never speaks against toxicity
         x[:, 1 + int(np.argmin(w[1:]))] = 0.0
@@ -210,13 +219,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Without labels of both kinds the model gives each text the same low score.
     """
-    from orrery.llm.common import materialise
-
     rows = materialise(training_rows(docs, labels))
-    crossed = []
-    for part in (0, 1):
-        other = Model(learn_tokens(rows.where(F.col("part") != part)))
-        crossed += _segment_rows(rows.where(F.col("part") == part), other)
+    crossed = [(rows.where(F.col("part") == part), Model(learn_tokens(rows.where(F.col("part") != part)))) for part in (0, 1)]
     return calibrate(Model(learn_tokens(rows)), crossed)
 
 
@@ -246,8 +250,6 @@ def score(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
 
 
 def op10_toxicity(spark, sf_dir):
-    from orrery.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model)
