@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from orrery.llm.common import free_name, table
+
 #: Largest share of characters inside repeated n-grams (the first occurrence not
 #: counted), by n. One repeated line in a short text stays below it.
 MAX_NGRAM_SHARE = dict.fromkeys(range(5, 11), 0.20)
@@ -114,12 +116,12 @@ def quality(text: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, text_col="text") -> DataFrame:
-    return docs.withColumn("_quality", quality(F.col(text_col))).where("_quality.kept").drop("_quality")
+    """The rows of docs that quality() keeps, with their columns, whatever their names. Null and empty texts have too few words and go."""
+    mark = free_name(docs)
+    return docs.withColumn(mark, quality(F.col(text_col))).where(F.col(mark)["kept"]).drop(mark)
 
 
 def op4_quality(spark, sf_dir):
-    from orrery.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = docs.select("doc_id", quality(F.col("text")).alias("q"))
     return q.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept")

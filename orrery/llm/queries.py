@@ -1,7 +1,6 @@
 """Queries and DuckDB twins of the training-data operators."""
 
-import corpus_pipeline
-from orrery.llm import chat, decontam, html, jaccard, mixing, quality, sharding, substring, tokens, toxicity
+from orrery.llm import chat, decontam, html, jaccard, mixing, pipeline, quality, sharding, substring, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -14,7 +13,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
     "op2_passage_dedup": substring.OP2_SQL,
@@ -24,6 +23,5 @@ ORACLES = {
     "op7_sharding": sharding.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_decontamination": decontam.OP9_SQL,
+    "pipeline": pipeline.ORACLE_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -54,6 +54,12 @@ def test_token_counts_match_the_tokenizer(spark):
     assert tokens.count_tokens(empty_docs(spark)).count() == 0
 
 
+def test_token_counts_of_string_ids(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, ""), ("b", None)], "doc_id string, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df).collect()}
+    assert got["a"] > 0 and got[None] == got["b"] == 0
+
+
 @pytest.mark.parametrize("block", [2, 6, 10, 64, 1 << 20])
 def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     rng = random.Random(block)
@@ -210,6 +216,37 @@ def test_mix_comes_near_and_repeats(spark):
     assert mixing.emit(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_the_chance_of_a_copy_is_the_fraction(spark):
+    """The cut stays within the bound that plan_mix states; over seeds long and short documents are as likely."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * (400 if i % 20 == 0 else rng.randint(1, 30))), "ab"[i % 2]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    long, short, n = 0, 0, 6
+    for seed in range(n):
+        base = df.select("source", mixing.n_words(F.col("text")).alias("size"), mixing._slice(F.col("doc_id"), f"s{seed}").alias("slice"))
+        for p in mixing.plan_mix(base).collect():
+            own = collections.Counter()
+            for r in base.where(F.col("source") == p["source"]).collect():
+                own[r["slice"]] += r["size"]
+            total, upto, stray = sum(own.values()), 0, 0.0
+            for k in range(mixing.SLICES):
+                upto += own[k]
+                stray = max(stray, abs(upto / total - (k + 1) / mixing.SLICES))
+            assert abs(p["cut"] / mixing.SLICES - p["fraction"]) <= stray + max(own.values()) / total
+        for r in mixing.mix(df, f"s{seed}").where("source = 'a'").collect():
+            extra = r["copies"] - int(r["target"] / r["source_size"])
+            long, short = long + extra * (r["size"] == 400), short + extra * (r["size"] < 400)
+    part = r["target"] / r["source_size"] % 1
+    assert abs(long / (75 * n) - part) < 0.1 and abs(short / (675 * n) - part) < 0.05
+
+
+def test_mix_with_columns_of_any_name(spark):
+    names = ["cut", "_slice", "_source", "slice", "source_size", "copies", "fraction", "_copy", "size"]
+    df = edge_docs(spark).drop("size", "copies", "source_size").withColumns({c: F.lit("own") for c in names})
+    out = mixing.mix(df)
+    assert out.count() == 10 and all(r["cut"] == r["_slice"] == r["_source"] == r["_copy"] == "own" for r in mixing.emit(out).collect())
+
+
 def test_mix_edges(spark):
     out = mixing.mix(edge_docs(spark)).collect()
     assert len(out) == 10 and all(r["copies"] <= 2 for r in out)
@@ -426,6 +463,9 @@ def test_jaccard_edges(spark):
         ("a<br>b  c\n d", "a\nb c d"),
         ("<ul><li>x<li>y<ol start=3><li>z</ol></ul>", "- x\n- y\n  3. z"),
         ("<table><tr><th>k<th>value<tr><td>long<td>1</table>", "k     value\nlong  1"),
+        ("<table><tr><td>aa<td colspan=2>wide one<td>z<tr><td>b<td>c<td>dd<td>y</table>", "aa  wide one  z\nb   c  dd     y"),
+        (f"<table><tr><td>{'word ' * 20}<td>x<tr><td>a<td>y</table>", f"{' '.join(['word'] * 12)}  x\n{' '.join(['word'] * 8)}\na{' ' * 58}  y"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
         ("<title>t</title><script>var a='<p>'</script><p style='display:none'>no<p hidden>no<p>yes", "yes"),
         ("<pre>\n a\n  b</pre>", " a\n  b"),
@@ -457,6 +497,83 @@ def test_html_edges(spark):
     assert [r["text"] for r in got][:3] == [None, "", "x"] and len(got[3]["text"]) == 249_999
 
 
+def model_page(rng, depth=0):
+    """(html, tokens): a random page and what it shows, as words, ("nl",) and ("blank",) between blocks, and whole lines."""
+    html, shown = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "inline", "hidden", "br", "div", "p", "list", "table", "quote"] if depth < 3 else ["text", "inline", "hidden", "br"])
+        word = f"w{rng.randrange(1000)}"
+        if kind == "text":
+            html.append(f" {word}\n  {word}x ")
+            shown += [word, f"{word}x"]
+        elif kind == "inline":
+            html.append(f" <b>{word}</b> ")
+            shown.append(word)
+        elif kind == "hidden":
+            html.append(rng.choice([f"<script>{word}</script>", f"<span hidden>{word}</span>", f"<!-- {word} -->", f"<i style='display: none'>{word}<b>{word}</b></i>"]))
+        elif kind == "br":
+            html.append(f" {word}<br>{word} ")
+            shown += [word, ("nl",), word]
+        elif kind in ("div", "p"):
+            inner, own = model_page(rng, 3 if kind == "p" else depth + 1)
+            edge = ("blank",) if kind == "p" else ("nl",)
+            html.append(f"<{kind}>{inner}</{kind}>")
+            shown += [edge, *own, edge]
+        elif kind == "quote":
+            inner, own = model_page(rng, depth + 1)
+            html.append(f"<blockquote>{inner}</blockquote>")
+            shown += [("blank",), ("lines", [f"  {x}" if x else "" for x in model_lines(own)]), ("blank",)]
+        elif kind == "list":
+            tag, items, lines = rng.choice(["ul", "ol"]), [], []
+            for i in range(rng.randint(1, 3)):
+                inner, own = model_page(rng, 3)
+                mark = "- " if tag == "ul" else f"{i + 1}. "
+                items.append(f"<li>{inner}" + rng.choice(["", "</li>"]))
+                lines += [(mark if j == 0 else " " * len(mark)) + x for j, x in enumerate(model_lines(own))]
+            html.append(f"<{tag}>{''.join(items)}</{tag}>")
+            shown += [("blank",), ("lines", lines), ("blank",)]
+        else:
+            n, grid = rng.randint(1, 3), []
+            for _ in range(rng.randint(1, 3)):
+                grid.append([f"c{rng.randrange(10 ** rng.randint(1, 6))}" for _ in range(n)])
+            wide = [max(len(row[k]) for row in grid) for k in range(n)]
+            html.append("<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in row) for row in grid) + "</table>")
+            shown += [("blank",), ("lines", ["  ".join(x.ljust(w) for x, w in zip(row, wide, strict=True)).rstrip() for row in grid]), ("blank",)]
+    return "".join(html), shown
+
+
+def model_lines(shown):
+    """Words of a line with blanks between; a blank line where one is due between two lines."""
+    lines, now, due = [], [], False
+
+    def put(more):
+        nonlocal due
+        for x in more:
+            if due and lines:
+                lines.append("")
+            due = False
+            lines.append(x)
+
+    for t in [*shown, ("nl",)]:
+        if isinstance(t, str):
+            now.append(t)
+            continue
+        if now:
+            put([" ".join(now)])
+            now = []
+        if t[0] == "lines" and t[1]:
+            put(t[1][:1])
+            lines += t[1][1:]
+        due = due or t[0] == "blank"
+    return lines
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_layout_is_brute_force(seed):
+    page, shown = model_page(random.Random(seed))
+    assert html.render(page) == "\n".join(model_lines(shown)), page
+
+
 @pytest.mark.parametrize("n", [149, 151, 3000])
 def test_html_below_many_unclosed_elements(n):
     body = "x<script>var s=1</script><style>p{}</style><div hidden>secret <font>in</font> more</div><template><b>no</b></template> y</b>z"
@@ -496,6 +613,41 @@ def test_shard_edges(spark):
     assert sorted(r["slot"] for r in sharding.shard(one, 4).collect() ) == sorted(range(50))
 
 
+def test_shards_of_any_ids_and_columns(spark):
+    rows = [(f"id-{i}" if i % 5 else None, f"text {i % 40}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(1) for c in ["_key", "_id", "_part", "_n", "_s", "_p", "_start", "key", "id"]})
+    out = sharding.shard(df, 4).collect()
+    assert len(out) == 200 and all(r["_key"] == r["_start"] == r["id"] == 1 for r in out)
+    far = spark.createDataFrame([(2**63 - 1, "a"), (-(2**63), "b"), (None, "c"), (64, "a")] * 3, "doc_id long, text string")
+    assert sharding.shard(far, 4).count() == 12
+
+
+def test_slots_are_numbered_in_many_parts(spark):
+    """Ids that are multiples of PARTS, or null, still spread."""
+    df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id") * 64).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    out = sharding.shard(df, 2)
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" in plan
+    slots = collections.defaultdict(list)
+    for r in out.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    mark = sharding.free_name(df)
+    keyed = df.select(sharding.id_number(df, "doc_id").alias("i"), sharding.text_key(F.col("text")).alias("k"))
+    parts = keyed.select((F.conv(F.substring(F.md5(F.concat_ws("|", "i", "k")), 1, 4), 16, 10).cast("int") % sharding.PARTS).alias("p")).groupBy("p").count().collect()
+    assert mark and len(parts) == sharding.PARTS and max(r["count"] for r in parts) < 80
+
+
+def test_written_shards_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 17)) for i in range(300)], "doc_id long, text string")
+    sharded = sharding.shard(df, 5)
+    sharding.write_shards(sharded, f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(tuple, back.select("doc_id", "shard", "slot").collect())) == sorted(map(tuple, sharded.select("doc_id", "shard", "slot").collect()))
+    assert sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == [f"shard={k}" for k in range(5)]
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "out").glob("shard=*"))
+
+
 # ---- 8 chat ----
 
 
@@ -644,6 +796,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(rows) > 300 and len(wrong) <= 0.02 * len(rows)
 
 
+def test_calibration_is_brute_force(spark):
+    docs, labels = toxic_tables(spark, 300)
+    rows = toxicity.training_rows(docs, labels).cache()
+    parts = [(rows.where(F.col("part") == k), toxicity.Model(toxicity.learn_tokens(rows.where(F.col("part") != k)))) for k in (0, 1)]
+    model = toxicity.calibrate(toxicity.Model(), parts)
+    told, scores, words = [], [toxicity.MIN_ODDS], 1.0
+    for part, own in parts:
+        for r in part.collect():
+            found, n = toxicity.scan(own, own.word_scores(), r["text"])
+            told.append((r["toxic"], found, n))
+            if not r["toxic"]:
+                scores, words = scores + [s for *_, s in found], words + n
+    assert model.rate == pytest.approx(len(scores) / sum(scores)) and model.scale == pytest.approx(len(scores) / words)
+    x = np.array([[1.0, *model.features(found, n)] for _, found, n in told])
+    y = np.array([t for t, *_ in told], float)
+    w = np.array(model.weights)
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 0.1 * w  # nought at the best weights, for those above nought
+    assert all(abs(g) < 1e-4 for g, v in zip(slope, w, strict=True) if v != 0) and (w[1:] >= 0).all()
+    rows.unpersist()
+
+
 def test_toxicity_tells_every_significant_passage(spark):
     docs, labels = toxic_tables(spark, 600)
     model = toxicity.train(docs, labels)
@@ -675,6 +848,13 @@ def test_toxicity_edges(spark):
 # ---- pipeline ----
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    df = edge_docs(spark).withColumns({c: F.lit("own") for c in ["_quality", "_decon", "key", "node", "label", "_id", "_key", "words"]})
+    for out in (quality.keep_good(df), jaccard.keep_one(df), decontam.keep_clean(df.drop("_decon"), bench)):
+        assert all(r["key"] == r["words"] == "own" for r in out.collect())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
