@@ -1,73 +1,5 @@
-"""A corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
+"""The corpus pipeline: STAGES as (name, function), run(spark, sf_dir) and its DuckDB twin ORACLE_SQL."""
 
-Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
-kept, and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
-"""
+from orrery.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from orrery.llm import decontam, jaccard, mixing, quality, sharding
-from orrery.llm.common import materialise, table
-
-
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "lang", "source", "n_chars")
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the repetition rules go."""
-    return _documents(quality.keep_good(docs))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least id."""
-    return _documents(jaccard.keep_one(docs))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
-    return _documents(decontam.keep_clean(docs, table(spark, sf_dir, "benchmark")))
-
-
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks, up to twice."""
-    return _documents(mixing.emit(mixing.mix(docs)))
-
-
-def sharding_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """40 shards of nearly equal bytes."""
-    return sharding.shard(docs)
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixing", mixing_sources),
-    ("sharding", sharding_bytes),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-
-_COLS = "doc_id, text, lang, source, n_chars"
-ORACLE_SQL = f"""
-WITH RECURSIVE {quality.quality_sql()},
-p1 AS (SELECT {_COLS} FROM q_rows WHERE kept),
-{jaccard.jaccard_sql("p1")},
-p2 AS (SELECT {_COLS} FROM nd_rows WHERE component_id = doc_id),
-{decontam.decontam_sql("p2")},
-p3 AS (SELECT {_COLS} FROM dc_rows WHERE NOT contaminated),
-{mixing.mixing_sql("p3")},
-p4 AS (SELECT {_COLS} FROM (SELECT *, unnest(range(copies)) FROM mix_rows)),
-{sharding.sharding_sql("p4")}
-SELECT {_COLS}, size, {sharding.crc32_sql("coalesce(text, '')")}::BIGINT AS text_crc32, shard, slot FROM shard_rows"""
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
