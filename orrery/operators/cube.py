@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import confidence, geo, timefn
-from orrery.operators.scope import Scope
+from orrery.operators.scope import Scope, month_of
 
 LEVELS = (-1, 2, 4, 6, 8)
 KEYS = ("level", "period", "cx", "cy", "kind", "type", "source", "band", "geo")
@@ -73,15 +73,20 @@ def without_place(cube: DataFrame, scope: Scope) -> DataFrame:
 
 
 def timeline(cube: DataFrame, scope: Scope, bucket: str) -> DataFrame:
-    """period, kind, type, n by years or months from the cube."""
-    size = F.col("period") % 100
-    rows = cube.where((F.col("level") == -1) & (F.col("kind") != "object") & (F.col("period") > 0))
-    rows = rows.where(size == 0 if bucket == "year" else size > 0)
-    if scope.types is not None:
-        rows = rows.where(F.col("type").isin(*scope.types))
-    if scope.min_confidence is not None:
-        rows = rows.where(F.col("band") >= confidence.band_floor(scope.min_confidence))
-    return rows.groupBy("period", "kind", "type").agg(F.sum("n").cast("long").alias("n"))
+    """period, kind, type, n by years or months from the cube, for all of the scope.
+
+    Within a time window years count by their whole-year cells where the window holds them
+    and else by their months; places count by the cells of the scope's level.
+    """
+    code = F.col("period")
+    tests = [F.col("kind") != "object", code > 0, F.col("level") == (-1 if scope.viewport is None else scope.level())]
+    if scope.time_window is None:
+        tests.append(code % 100 == 0 if bucket == "year" else code % 100 > 0)
+    else:
+        first, last = (month_of(t) for t in scope.time_window)
+        tests.append(code.isin(*(timefn.month_codes(first, last) if bucket == "year" else [m // 12 * 100 + m % 12 + 1 for m in range(first, last + 1)])))
+    rows = cube.where(scope.cube_where(*tests))
+    return rows.groupBy((F.floor(code / 100) * 100 if bucket == "year" else code).cast("int").alias("period"), "kind", "type").agg(F.sum("n").cast("long").alias("n"))
 
 
 def fine_timeline(events: DataFrame, step_ms: int) -> DataFrame:
@@ -89,6 +94,21 @@ def fine_timeline(events: DataFrame, step_ms: int) -> DataFrame:
     return events.where("t_ms IS NOT NULL").groupBy(timefn.bucket(F.col("t_ms"), step_ms).alias("bucket_ms"), "type").agg(F.count("*").alias("n"))
 
 
+#: Milliseconds in a bucket, mean ones for months and years, and the most buckets of an answer.
+BUCKET_MS = {"hour": 3600e3, "day": 86400e3, "month": 30.44 * 86400e3, "year": 365.25 * 86400e3}
+MAX_BUCKETS = 400
+
+
+def bucket_of(window: tuple[int, int], wanted: str = "auto") -> str:
+    """The bucket of a time window: by its length, or as wanted, if that makes no more than MAX_BUCKETS; else the finest that does."""
+    span, day = window[1] - window[0], 86_400_000
+    if wanted == "auto":
+        return next((b for b, days in (("year", 3 * 365), ("month", 90), ("day", 3)) if span > days * day), "hour")
+    if span / BUCKET_MS[wanted] <= MAX_BUCKETS:
+        return wanted
+    return next((b for b in BUCKET_MS if span / BUCKET_MS[b] <= MAX_BUCKETS), "year")
+
+
 def facets(cube: DataFrame, scope: Scope) -> DataFrame:
     """dim, value, n over kind, type, source, band and geometry, as one grouping-sets aggregation."""
     rows = cube.where(scope.with_(viewport=None).cube_rows(-1))

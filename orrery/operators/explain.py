@@ -54,11 +54,26 @@ def from_bindings(bindings: DataFrame):
 
 
 def recompute(factors: Column) -> Column:
-    """The confidence that packed factors stand for: {"p": [...]} a product, {"g": {...}} independent groups."""
-    product = F.aggregate(F.from_json(F.get_json_object(factors, "$.p"), "array<double>"), F.lit(1.0), lambda a, x: a * x)
-    groups = F.array_sort(F.map_entries(F.from_json(F.get_json_object(factors, "$.g"), "map<string,double>")))
-    rest = F.aggregate(groups, F.lit(1.0), lambda a, x: a * (1 - x["value"]))
-    return F.when(F.get_json_object(factors, "$.p").isNotNull(), product).when(F.get_json_object(factors, "$.g").isNotNull(), 1 - rest)
+    """The confidence that factors stand for; null if they are of no known kind.
+
+    Packed ones are {"p": [...]}, a product, and {"g": {...}}, independent groups; spelled out they
+    have a method: "product" of factors, "independent_groups" with groups, or "insight", the rule's
+    strength x the least member's confidence x what was scored, by name.
+    """
+    at = lambda path, kind: F.from_json(F.get_json_object(factors, path), kind)
+    by_name = lambda path: F.transform(F.array_sort(F.map_entries(at(path, "map<string,double>"))), lambda e: e["value"])
+    times = lambda values, start=F.lit(1.0): F.aggregate(values, start, lambda a, x: a * x)
+    groups = lambda path: 1 - F.aggregate(by_name(path), F.lit(1.0), lambda a, x: a * (1 - x))
+    number = lambda path: F.get_json_object(factors, path).cast("double")
+    method = F.get_json_object(factors, "$.method")
+    scored = F.coalesce(by_name("$.scored"), F.array().cast("array<double>"))
+    return (
+        F.when(F.get_json_object(factors, "$.p").isNotNull(), times(at("$.p", "array<double>")))
+        .when(F.get_json_object(factors, "$.g").isNotNull(), groups("$.g"))
+        .when(method == "product", times(by_name("$.factors")))
+        .when(method == "independent_groups", groups("$.groups"))
+        .when(method == "insight", times(scored, number("$.relation_strength") * number("$.members_min")))
+    )
 
 
 def truncated(bindings: DataFrame, bound: list[str], candidate: str, most: int) -> DataFrame:

@@ -1,16 +1,22 @@
 """Graph operators: level by level joins, each level written out to end its lineage.
 
-Edges are tables with src and dst. Frontiers and seen sets stay distributed; only
-the number of rounds is the driver's business.
+Edges are tables with src and dst; no operator that starts from given nodes copies
+them. A small frontier becomes a filter on both ends, which reaches the scan and
+prunes it where edges are sorted (see by_node); a large one is joined. Frontiers and
+seen sets stay distributed; only the number of rounds is the driver's business.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.relational import both_ways
-from orrery.sources.shared import materialise
+from orrery.sources.shared import materialise, release
+
+
+#: Frontiers of so many nodes at most are pushed down as a filter.
+PUSHED = 1000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -18,13 +24,30 @@ def undirected(edges: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def by_node(edges: DataFrame, node: str = "src") -> DataFrame:
+    """edges as a table sorted by one end, to be written once and searched often: a filter on it reads few row groups."""
+    return materialise(edges.repartitionByRange(F.col(node)).sortWithinPartitions(node))
+
+
+def touching(edges: DataFrame, frontier: DataFrame, directed: bool = False) -> tuple[DataFrame, Column | None]:
+    """The edges with an end in the frontier (column node), and the test whether a column is in it, if that is short."""
+    few = [r["node"] for r in frontier.select("node").limit(PUSHED + 1).collect()]
+    if len(few) > PUSHED:
+        return edges, None
+    start = F.col("src").isin(few)
+    return edges.where(start if directed else start | F.col("dst").isin(few)), F.col("node").isin(few)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """node, hops: nodes within so many hops of the seeds (column node), with the least number."""
-    links = materialise(edges.select("src", "dst").distinct() if directed else undirected(edges))
     seen = materialise(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
+    frontier, flat = seen, edges.select("src", "dst")
     for hop in range(1, depth + 1):
-        step = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        near, inside = touching(flat, frontier, directed)
+        ways = near if directed else near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ways = ways.select(F.col("src").alias("node"), "dst")
+        step = ways.join(frontier.select("node"), "node", "left_semi") if inside is None else ways.where(inside)
+        step = step.select(F.col("dst").alias("node")).distinct()
         frontier = materialise(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             break
@@ -61,21 +84,24 @@ def cheapest(edges: DataFrame, source: str, rounds: int, avoid: list[str] | None
     """node, cost: least sum of weights (column w, not negative) from a node, by relaxation.
 
     A round extends every node whose cost fell in the round before; it ends when none falls.
+    Each round reads the edges: those that cost much to make should be written first.
     """
-    links = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    links = edges.select("src", "dst", "w")
     if avoid:
         links = links.where(~F.col("dst").isin(*avoid) & ~F.col("src").isin(*avoid))
-    links = materialise(links.groupBy("src", "dst").agg(F.min("w").alias("w")))
-    cost = materialise(edges.sparkSession.createDataFrame([(source, 0.0)], "node string, cost double"))
-    changed = cost
+    table = materialise(edges.sparkSession.createDataFrame([(source, 0.0, True)], "node string, cost double, fell boolean"))
     for _ in range(rounds):
-        offer = changed.join(links, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
-        merged = materialise(cost.join(offer, F.col("node") == F.col("dst"), "full_outer").select(F.coalesce("node", "dst").alias("node"), F.col("cost").alias("old"), F.least("cost", "offer").alias("cost")))
-        cost = merged.select("node", "cost")
-        changed = materialise(merged.where("old IS NULL OR cost < old").select("node", "cost"))
-        if not changed.limit(1).count():
+        changed = table.where("fell").select("node", "cost")
+        near, _ = touching(links, changed)
+        ways = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        offer = changed.join(ways, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
+        rows = table.join(offer, F.col("node") == F.col("dst"), "full_outer")
+        less = F.col("cost").isNull() | (F.col("offer") < F.col("cost"))
+        before, table = table, materialise(rows.select(F.coalesce("node", "dst").alias("node"), F.least("cost", "offer").alias("cost"), F.coalesce(less, F.lit(False)).alias("fell")))
+        release(before)
+        if not table.where("fell").limit(1).count():
             break
-    return cost
+    return table.select("node", "cost")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -95,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = up.withColumnRenamed("up", "root")
         else:
-            roots = materialise(roots.join(up.withColumnRenamed("h", "root"), "root", "left").select("h", F.coalesce("up", "root").alias("root")))
+            roots = roots.join(up.withColumnRenamed("h", "root"), "root", "left").select("h", F.coalesce("up", "root").alias("root"))
         rows = rest.join(up.select(F.col("h").alias("a"), F.col("up").alias("_x")), "a").join(up.select(F.col("h").alias("b"), F.col("up").alias("_y")), "b")
         rest = materialise(rows.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).where("a <> b").distinct())
         if not rest.limit(1).count():
@@ -119,20 +145,37 @@ def closure(evidence: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
     return seen
 
 
-def neighbourhood(edges: DataFrame, focus: str, depth: int, per_group: int) -> DataFrame:
-    """depth, node, dir, kind, type, other, rank, remaining: edges level by level, the first of each group and how many more."""
-    links = materialise(both_ways(edges))
+def neighbourhood(edges: DataFrame, focus: str, depth: int, per_group: int, types: DataFrame | None = None, max_nodes: int | None = None) -> DataFrame:
+    """depth, node, dir, kind, type, other, rank, remaining: edges level by level, the first of each group and how many more.
+
+    types (column node) holds the nodes that may be shown beside the focus, such as those
+    of a scope's types; max_nodes ends the walk's growth: of a level that exceeds it the
+    first nodes by their edge's place go on, and edges to the others are left out.
+    """
     spark = edges.sparkSession
-    seen = materialise(spark.createDataFrame([(focus,)], "node string"))
-    frontier, out = seen, None
+    seen = frontier = spark.createDataFrame([(focus,)], "node string")
+    out, known = None, 1
     w = Window.partitionBy("node", "kind", "type", "dir")
     for d in range(1, depth + 1):
-        rows = links.join(frontier, "node").withColumns({"rank": F.row_number().over(w.orderBy("other", "ref")), "_n": F.count("*").over(w)})
+        near, inside = touching(edges, frontier)
+        ways = both_ways(near)
+        ways = ways.join(frontier, "node", "left_semi") if inside is None else ways.where(inside)
+        rows = ways.withColumns({"rank": F.row_number().over(w.orderBy("other", "ref")), "_n": F.count("*").over(w)})
         rows = rows.where(F.col("rank") <= per_group).withColumn("remaining", F.greatest(F.col("_n") - per_group, F.lit(0)).cast("long"))
-        rows = materialise(rows.select(F.lit(d).alias("depth"), "node", "dir", "kind", "type", "other", "rank", "remaining"))
+        rows = rows.select(F.lit(d).alias("depth"), "node", "dir", "kind", "type", "other", "rank", "remaining")
+        if types is not None:
+            rows = rows.join(types.select(F.col("node").alias("other")).unionByName(spark.createDataFrame([(focus,)], "other string")).distinct(), "other", "left_semi")
+        rows = materialise(rows.select("depth", "node", "dir", "kind", "type", "other", "rank", "remaining"))
+        fresh = rows.select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti")
+        if max_nodes is not None:
+            place = rows.groupBy(F.col("other").alias("node")).agg(F.min(F.struct("node", "kind", "type", "dir", "rank")).alias("p"))
+            fresh = place.join(fresh, "node", "left_semi").orderBy("p", "node").limit(max(0, max_nodes - known)).select("node")
+        frontier = materialise(fresh)
+        if max_nodes is not None:
+            known += frontier.count()
+            rows = rows.join(seen.unionByName(frontier).select(F.col("node").alias("other")), "other", "left_semi").select(*rows.columns)
         out = rows if out is None else out.unionByName(rows)
-        frontier = materialise(rows.select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if not frontier.limit(1).count():
+        if d == depth or not frontier.limit(1).count():
             break
         seen = materialise(seen.unionByName(frontier))
     return out

@@ -138,9 +138,10 @@ def shared_insights(members: DataFrame, active: DataFrame, seeds: DataFrame) ->
 def in_force(facts: DataFrame, names: DataFrame, key: str, day: str) -> DataFrame:
     """facts with the name whose [first, last) holds the day; names has key, first, last (null: open), name.
 
-    The names of a key are few; the join is on the key, the day is a filter.
+    The names of a key are few and travel as one list, so that facts stay row by row,
+    equal ones too.
     """
-    rows = facts.join(names, key, "left")
-    holds = (F.col(day) >= F.col("first")) & (F.col("last").isNull() | (F.col(day) < F.col("last")))
-    own = [c for c in facts.columns]
-    return rows.groupBy(*own).agg(F.max(F.when(holds, F.col("name"))).alias("name"))
+    spans = names.groupBy(key).agg(F.collect_list(F.struct("first", "last", "name")).alias("_names"))
+    holds = lambda n: (F.col(day) >= n["first"]) & (n["last"].isNull() | (F.col(day) < n["last"]))
+    rows = facts.join(spans, key, "left")
+    return rows.withColumn("name", F.array_max(F.transform(F.filter("_names", holds), lambda n: n["name"]))).drop("_names")

@@ -62,6 +62,11 @@ class Scope:
         """The predicate on the cube: confidence by bands, time by whole months, space by cells."""
         tests = [F.col("level") == level]
         tests.append(F.when(F.col("kind") == "object", F.col("period") == 0).otherwise(F.col("period").isin(*self.period_codes())))
+        return self.cube_where(*tests, level=level)
+
+    def cube_where(self, *tests: Column, level: int | None = None) -> Column:
+        """The tests, and the scope's own of types, sources, confidence and place; cells are those of the level, or else of its own."""
+        tests = list(tests)
         if self.types is not None:
             tests.append(F.col("type").isin(*self.types))
         if self.sources is not None:
@@ -69,13 +74,13 @@ class Scope:
         if self.min_confidence is not None:
             tests.append(F.col("band") >= confidence.band_floor(self.min_confidence))
         if self.viewport is not None:
-            tests.append(in_ranges(F.col("cx"), F.col("cy"), geo.viewport_ranges(self.viewport, level)))
+            tests.append(in_ranges(F.col("cx"), F.col("cy"), geo.viewport_ranges(self.viewport, self.level() if level is None else level)))
         return _all(tests)
 
     def period_codes(self) -> list[int]:
         if self.time_window is None:
             return [0]
-        first, last = (_month(t) for t in self.time_window)
+        first, last = (month_of(t) for t in self.time_window)
         return timefn.month_codes(first, last)
 
     def level(self) -> int:
@@ -85,7 +90,7 @@ class Scope:
         return replace(self, **changes)
 
 
-def _month(ms: int) -> int:
+def month_of(ms: int) -> int:
     from datetime import datetime, timezone
 
     at = datetime.fromtimestamp(ms / 1000, tz=timezone.utc)

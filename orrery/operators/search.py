@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.text import index_tokens, query_tokens
+from orrery.sources.shared import materialise
 
 # Field weights, BM25 constants, the floor of a term's weight, the limits of frequency estimates.
 WEIGHTS = {"label": 10.0, "aliases": 4.0, "identifiers": 6.0, "text": 1.0}
@@ -27,6 +32,25 @@ def lengths(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.sum("tf").alias("len"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings sorted by term, so that a prefix reads few row groups; the length of each document; their number and mean."""
+
+    postings: DataFrame
+    key: str
+    lengths: DataFrame
+    n_docs: int
+    mean: float
+
+    @classmethod
+    def of(cls, docs: DataFrame, key: str, fields: list[str]) -> Index:
+        """Written once, to the shared folder, and searched often."""
+        made = materialise(postings(docs, key, fields).repartitionByRange("term").sortWithinPartitions("term"))
+        lens = materialise(lengths(made, key))
+        n, total = lens.agg(F.count("*"), F.sum("len")).first()
+        return cls(made, key, lens, n, (total or 0) / n if n else 0.0)
+
+
 def document_frequency(index: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
     """prefix, df: documents with a term that begins so, counted up to the cap."""
     rows = None
@@ -40,32 +64,32 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def search(index: DataFrame, key: str, text: str, n: int, n_docs: int | None = None) -> DataFrame:
+def search(index: Index, text: str, n: int) -> DataFrame:
     """key, score of the documents that hold every word of the text as the beginning of a term, best first.
 
-    The index is read for the prefixes alone; lengths and the number of documents come
-    from the whole index.
+    The postings are read once, for the prefixes alone. Words that more than FREQUENT
+    documents hold only filter; where all are such, all documents score 0.
     """
-    import re
-
-    prefixes = [t.lower() for t in re.findall("[0-9A-Za-zÀ-ÿ]+", text)][:8]
+    key, prefixes = index.key, list(dict.fromkeys(t.lower() for t in re.findall("[0-9A-Za-zÀ-ÿ]+", text)[:8]))
     if not prefixes:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    lens = lengths(index, key)
-    stats = lens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+        return index.postings.select(key, F.lit(0.0).alias("score")).limit(0)
     weight = F.lit(1.0)
     for f, w in WEIGHTS.items():
         weight = F.when(F.col("field") == f, w).otherwise(weight)
-    hits = None
-    for i, p in enumerate(dict.fromkeys(prefixes)):
-        part = index.where(F.col("term").startswith(p)).groupBy(key).agg(F.sum(F.col("tf") * weight).alias("tf")).withColumn("q", F.lit(i))
-        hits = part if hits is None else hits.unionByName(part)
-    k = len(dict.fromkeys(prefixes))
-    df = hits.groupBy("q").agg(F.count("*").alias("df"))
-    every = hits.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") == k).select(key)
-    rows = hits.join(every, key).join(F.broadcast(df), "q").join(lens, key).crossJoin(F.broadcast(stats))  # a row for each word, and one row
-    gain = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return rows.groupBy(key).agg(F.round(F.sum(gain), 4).alias("score")).orderBy(F.desc("score"), key).limit(n)
+    begins = [F.col("term").startswith(p) for p in prefixes]
+    rows = index.postings.where(reduce(lambda a, b: a | b, begins))
+    # One column for each word: a document's row holds them all, and no row is copied.
+    sums = [F.sum(F.when(b, F.col("tf") * weight)).alias(f"tf{i}") for i, b in enumerate(begins)]
+    hits = materialise(rows.groupBy(key).agg(*sums))
+    found = hits.agg(*[F.count(f"tf{i}") for i in range(len(prefixes))]).first()
+    ranked, _ = plan_prefixes(dict(zip(prefixes, found, strict=True)))
+    every = hits.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}").isNotNull() for i in range(len(prefixes))])).join(index.lengths, key)
+    gain = F.lit(0.0)
+    for i, p in enumerate(prefixes):
+        if p in ranked and found[i] <= FREQUENT:
+            tf = F.col(f"tf{i}")
+            gain = gain + idf(F.lit(float(index.n_docs)), F.lit(float(found[i]))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(index.mean)))
+    return every.select(key, F.round(gain, 4).alias("score")).orderBy(F.desc("score"), key).limit(n)
 
 
 def plan_prefixes(frequencies: dict[str, int]) -> tuple[list[str], list[str]]:
@@ -79,7 +103,6 @@ def match_places(places: DataFrame, text: str, n: int = 5) -> DataFrame:
 
     places has id, label, aliases (array), rank (null for places of the first order).
     """
-    import re
     import unicodedata
 
     from orrery.functions.text import match_score, place_name
@@ -92,4 +115,4 @@ def match_places(places: DataFrame, text: str, n: int = 5) -> DataFrame:
     return rows.orderBy("score", F.desc_nulls_first("rank"), F.length("label"), "label", "id").limit(n).select("id", "label", "score")
 
 
-__all__ = ["document_frequency", "idf", "lengths", "match_places", "plan_prefixes", "postings", "query_tokens", "search"]
+__all__ = ["Index", "document_frequency", "idf", "lengths", "match_places", "plan_prefixes", "postings", "query_tokens", "search"]

@@ -43,6 +43,13 @@ class Engine:
         return cube.counts_by_type(cells) if budget.lod == "counts" else cube.rollup_cells(cells, level, budget.max_items)
 
     def op_timeline(self, scope, budget, bucket="month"):
+        window = scope.time_window
+        if window is None and bucket == "auto":
+            window = tuple(self.world["event"].agg(F.min("t_ms"), F.max("t_ms")).first())
+            if window[0] is None:
+                bucket = "month"
+        if window and window[0] is not None:
+            bucket = cube.bucket_of(window, bucket)
         if bucket in ("year", "month"):
             return cube.timeline(self.cube, scope, bucket).orderBy("period", "type").limit(budget.max_items)
         return cube.fine_timeline(self.world["event"].where(scope.rows("event")), {"day": 86_400_000, "hour": 3_600_000}[bucket]).orderBy("bucket_ms", "type").limit(budget.max_items)
@@ -58,7 +65,11 @@ class Engine:
         return views.details(self.world["object"], self.world["edge"], id)
 
     def op_neighbourhood(self, scope, budget, focus=None, depth=1):
-        return graph.neighbourhood(self.world["edge"], focus, min(depth, 3), max(3, budget.max_nodes // 20)).limit(budget.max_edges)
+        types = None
+        if scope.types is not None:
+            named = [self.world[k].where(F.col("type").isin(*scope.types)).select(F.col(f"{k}_id").alias("node")) for k in ("object", "event")]
+            types = named[0].unionByName(named[1])
+        return graph.neighbourhood(self.world["edge"], focus, max(1, min(depth, 3)), max(3, budget.max_nodes // 20), types, budget.max_nodes).limit(budget.max_edges)
 
     def op_path(self, scope, budget, a=None, b=None):
         return graph.shortest_path(self.world["edge"], a, b)

@@ -243,6 +243,39 @@ def shared_insights(spark, sf):
     return shared(m, active, spark.createDataFrame([("customer:1",), ("customer:2",)], "entity_id string"))
 
 
+@query("factors_of_insights", "SELECT o_orderkey, round(0.9::DOUBLE * ((o_orderkey % 7) / 7.0::DOUBLE) * CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0.5::DOUBLE * 0.25::DOUBLE END, 9) AS confidence FROM orders")
+def factors_of_insights(spark, sf):
+    k = F.col("o_orderkey")
+    scored = F.when(k % 3 == 0, F.lit("{}")).otherwise(F.lit('{"b": 0.25, "a": 0.5}'))
+    least = ((k % 7) / F.lit(7.0)).cast("string")
+    factors = F.concat(F.lit('{"method": "insight", "relation_strength": 0.9, "members_min": '), least, F.lit(', "scored": '), scored, F.lit("}"))
+    return A.table(spark, sf, "orders").select("o_orderkey", F.round(EX.recompute(factors), 9).alias("confidence"))
+
+
+@query("names_in_force_of_equal_rows", "SELECT o_orderstatus AS status, CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'lira' ELSE 'euro' END AS name FROM orders")
+def names_in_force_of_equal_rows(spark, sf):
+    """Facts without a key of their own: as many rows come back as went in."""
+    from orrery.operators.relational import in_force
+
+    names = spark.createDataFrame([("it", None, "1999-01-01", "lira"), ("it", "1999-01-01", None, "euro")], "k string, first string, last string, name string")
+    names = names.select("k", F.coalesce(F.to_timestamp("first"), F.lit("0001-01-01").cast("timestamp")).alias("first"), F.to_timestamp("last").alias("last"), "name")
+    facts = A.table(spark, sf, "orders").select(F.lit("it").alias("k"), F.col("o_orderstatus").alias("status"), F.date_trunc("year", F.col("o_orderdate").cast("timestamp")).alias("day"))
+    return in_force(facts, names, "k", "day").select("status", "name")
+
+
+@query("records_by_locator", """SELECT 'row' AS locator, o_orderkey, '{"key": "' || o_orderkey || '", "status": "' || o_orderstatus || '"}' AS extracted FROM orders
+    UNION ALL SELECT 'line', o_orderkey, o_orderkey || ',' || o_orderstatus || ',x' FROM orders UNION ALL SELECT 'beyond', o_orderkey, NULL FROM orders""")
+def records_by_locator(spark, sf):
+    """Line 2 of a CSV with its header's names, line 1 counted from 0, and a row that is not there."""
+    from orrery.sources import store
+
+    o = A.table(spark, sf, "orders")
+    files = o.select(F.col("o_orderkey").alias("sha256"), F.concat(F.lit("key,status,secret\r\n"), F.concat_ws(",", "o_orderkey", "o_orderstatus", F.lit("x"))).alias("text"))
+    parts = [(n, store.extract(files, loc, allowed)) for n, loc, allowed in (("row", "row:2", ["key", "status"]), ("line", "line:1", None), ("beyond", "row:3", None))]
+    rows = [p.select(F.lit(n).alias("locator"), F.col("sha256").alias("o_orderkey"), "extracted") for n, p in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("currency_in_force", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'lira' ELSE 'euro' END AS name FROM orders")
 def currency_in_force(spark, sf):
     from orrery.operators.relational import in_force

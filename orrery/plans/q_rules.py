@@ -12,6 +12,7 @@ from orrery.operators import rules as RU
 from orrery.operators import search as SE
 from orrery.operators import world as WB
 from orrery.plans import adapter as A
+from orrery.sources.shared import materialise
 from orrery.plans.catalog import query
 
 W = A.world_sql
@@ -347,7 +348,7 @@ def dijkstra_supply(spark, sf):
     a, b = (o.select(F.col("object_id").alias(k), F.col("lon").alias(f"{k}_lon"), F.col("lat").alias(f"{k}_lat")) for k in ("src", "dst"))
     e = _located(spark, sf).select("src", "dst").join(a, "src").join(b, "dst")
     e = e.select("src", "dst", haversine_km(F.col("src_lon"), F.col("src_lat"), F.col("dst_lon"), F.col("dst_lat")).alias("w"))
-    return G.cheapest(e, "nation:4", 10).select("node", F.round("cost", 6).alias("cost"))
+    return G.cheapest(materialise(e), "nation:4", 10).select("node", F.round("cost", 6).alias("cost"))
 
 
 @query("degree_hubs", f"WITH {W('edge')}, x AS (SELECT src AS node, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, count(*) AS n FROM x GROUP BY node HAVING count(*) >= 100")
@@ -422,7 +423,7 @@ h AS (SELECT q, k, sum(tf * CASE field WHEN 'label' THEN 10.0 WHEN 'aliases' THE
 d AS (SELECT q, count(*) AS df FROM h GROUP BY q), ok AS (SELECT k FROM h GROUP BY k HAVING count(*) = 3)
 SELECT h.k AS p_partkey, round(sum(greatest(ln((nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))), 4) AS score FROM h JOIN ok USING (k) JOIN d USING (q) JOIN len USING (k), st GROUP BY h.k ORDER BY score DESC, h.k LIMIT 30""")
 def search_prefix_bm25(spark, sf):
-    return SE.search(SE.postings(_docs(spark, sf), "p_partkey", list(SE.WEIGHTS)), "p_partkey", "Brand 1 promo", 30)
+    return SE.search(SE.Index.of(_docs(spark, sf), "p_partkey", list(SE.WEIGHTS)), "Brand 1 promo", 30)
 
 
 @query("df_prefix", f"WITH {_IDX} SELECT prefix, least(count(DISTINCT k), 20001) AS df FROM i JOIN (VALUES ('re'), ('b'), ('1')) v(prefix) ON starts_with(term, prefix) GROUP BY prefix")

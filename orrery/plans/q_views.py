@@ -151,6 +151,22 @@ for _b, _ms in (("day", timefn.DAY), ("hour", timefn.HOUR)):
     query(f"timeline_{_b}", f"WITH {A.world_sql('event')} SELECT t_ms // {_ms} * {_ms} AS bucket_ms, type, count(*) AS n FROM event GROUP BY ALL")(lambda spark, sf, ms=_ms: C.fine_timeline(A.events(spark, sf), ms))
 
 
+#: Partial years at both ends of a whole one, one source, and places across the antimeridian.
+SCOPED = S.Scope.of({"z": 2, "viewport": list(ACROSS), "sources": ["feed1", "feed2"], "time_window": [1674000000000, 1739000000000], "min_confidence": 0.5})
+
+
+def _scoped_sql(bucket: str) -> str:
+    """The events themselves, counted by what the cube rounds to: months, cells and bands."""
+    cells = " OR ".join(f"(cx >> 4 BETWEEN {a} AND {b} AND cy >> 4 BETWEEN {c} AND {d})" for a, b, c, d in geo.viewport_ranges(ACROSS, SCOPED.level()))
+    first, last = (S.month_of(t) for t in SCOPED.time_window)
+    code = "(month // 12 * 100)" if bucket == "year" else "(month // 12 * 100 + month % 12 + 1)"
+    return f"WITH {A.world_sql('event')} SELECT {code}::INT AS period, 'event' AS kind, type, count(*) AS n FROM event WHERE ({cells}) AND source IN ('feed1', 'feed2') AND confidence >= 0.5 AND month BETWEEN {first} AND {last} GROUP BY ALL"
+
+
+for _b in ("year", "month"):
+    query(f"timeline_{_b}_scoped", _scoped_sql(_b))(lambda spark, sf, b=_b: C.timeline(_cube(spark, sf), SCOPED, b))
+
+
 @query("timeline_order_months", "SELECT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS month, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def timeline_order_months(spark, sf):
     o = A.table(spark, sf, "orders")

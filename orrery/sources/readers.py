@@ -165,8 +165,8 @@ def xlsx_cells(files: DataFrame, sheet: int = 1) -> DataFrame:
     return files.select("path", "content").mapInPandas(cells, "path string, row int, col int, text string")
 
 
-def dbf_records(content: bytes) -> list[dict[str, str]]:
-    """The records of a dBASE table as text; deleted ones are left out."""
+def dbf_records(content: bytes) -> list[dict[str, str] | None]:
+    """The records of a dBASE table as text; null in the place of deleted ones, so that places match those of the shapes."""
     n, head, width = struct.unpack("<xxxxIHH", content[:12])
     fields, at = [], 32
     while content[at] != 0x0D:
@@ -176,6 +176,7 @@ def dbf_records(content: bytes) -> list[dict[str, str]]:
     for i in range(n):
         row = content[head + i * width : head + (i + 1) * width]
         if row[:1] == b"*":
+            out.append(None)
             continue
         values, pos = {}, 1
         for name, size in fields:
@@ -216,31 +217,45 @@ def _inside(p: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
 
 
 def polygons_with_holes(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[float, float]]]]:
-    """Outer rings (clockwise) each with the holes whose first point lies inside."""
-    outer = [[r] for r in rings if signed_area(r) <= 0]
-    for hole in (r for r in rings if signed_area(r) > 0):
-        home = next((p for p in outer if _inside(hole[0], p[0])), None)
+    """Polygons, each an outer ring and its holes, from a shapefile's rings.
+
+    There outer rings run clockwise; here they run the other way round, and holes clockwise.
+    A hole goes to the first polygon that holds its first point; without one
+    it is an outer ring itself. Rings of fewer than four points are left out.
+    """
+    whole = [r for r in rings if len(r) >= 4]
+    polygons = [[r[::-1]] for r in whole if signed_area(r) < 0]
+    for ring in (r for r in whole if signed_area(r) >= 0):
+        home = next((p for p in polygons if _inside(ring[0], p[0])), None)
         if home is None:
-            outer.append([hole])
+            polygons.append([ring])
         else:
-            home.append(hole)
-    return outer
+            home.append(ring[::-1])
+    return polygons
+
+
+def _wkb_kind(code: int) -> tuple[int, int, bool]:
+    """(kind, ordinates of a point, whether a reference system follows) of a WKB type code, in either way to mark Z and M."""
+    extra = bool(code & 0x80000000) + bool(code & 0x40000000)
+    plain = code & 0x0FFFFFFF
+    return plain % 1000, 2 + extra + (0, 1, 1, 2)[plain // 1000 % 4], bool(code & 0x20000000)
 
 
 def wkb_lines(blob: bytes) -> list[list[tuple[float, float]]]:
-    """The lines of a (multi-)line string in WKB, with or without a GeoPackage header."""
+    """The lines of a (multi-)line string in WKB, with or without a GeoPackage header; of points with Z or M the first two ordinates."""
     at = 0
     if blob[:2] == b"GP":
         at = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
 
     def read(at: int) -> tuple[list, int]:
         order = "<" if blob[at] == 1 else ">"
-        kind = struct.unpack(order + "I", blob[at + 1 : at + 5])[0] % 1000
-        n = struct.unpack(order + "I", blob[at + 5 : at + 9])[0]
-        at += 9
+        kind, width, placed = _wkb_kind(struct.unpack_from(order + "I", blob, at + 1)[0])
+        at += 9 if placed else 5
+        n = struct.unpack_from(order + "I", blob, at)[0]
+        at += 4
         if kind == 2:
-            flat = struct.unpack(f"{order}{2 * n}d", blob[at : at + 16 * n])
-            return [list(zip(flat[::2], flat[1::2], strict=True))], at + 16 * n
+            flat = struct.unpack_from(f"{order}{width * n}d", blob, at)
+            return [list(zip(flat[::width], flat[1::width], strict=True))], at + 8 * width * n
         if kind == 5:
             lines = []
             for _ in range(n):

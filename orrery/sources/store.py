@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,23 +48,65 @@ def published(payloads: DataFrame, usable: Column) -> DataFrame:
 
 
 def extract(payloads: DataFrame, locator: str, allowed: list[str] | None = None) -> DataFrame:
-    """sha256, extracted: what a locator names in text payloads (column text).
+    """sha256, extracted, truncated: the record that a locator names in payloads, as text; null where it names none.
 
-    '$.a[0].b' is a JSON path and 'line:n' or 'row:n' a line (from 1, the header not
-    counted for rows). allowed restricts the first name of a path. At most 256 KiB come back.
+    '$.a[0].b' is a JSON path and 'line:n' a line, from 0, of column text; 'row:n' is the row of a CSV
+    text that ends on line n of the file, whose header is line 1, as a JSON object; 'zline:n' is a line
+    of the first member of a ZIP, 'shape:n' the attributes of a shapefile's record
+    n, from 0, in a ZIP: these two read column content. allowed restricts the fields of
+    objects, and the first name of a path. Records are cut to 256 KiB.
     """
     kind, _, rest = locator.partition(":")
     if locator.startswith("$"):
         first = locator[2:].split(".")[0].split("[")[0]
-        if allowed is not None and first not in allowed:
+        if allowed is not None and first and first not in allowed:
             raise ValueError(f"field {first!r} may not be read")
         value = F.get_json_object("text", locator)
-    elif kind in ("line", "row"):
-        n = int(rest) + (kind == "row")
-        value = F.get(F.split("text", "\n"), F.lit(n - 1))
+    elif kind == "line" and rest.isdigit():
+        value = F.get(F.split("text", r"\r\n|\n|\r"), F.lit(int(rest)))
+    elif kind in ("row", "zline", "shape") and rest.isdigit():
+        read, n = {"row": _csv_record, "zline": _zip_line, "shape": _shape_record}[kind], int(rest)
+        value = F.pandas_udf(lambda s: s.map(lambda x: read(x, n), na_action="ignore"), "string")(F.col("text" if kind == "row" else "content"))
     else:
         raise ValueError(f"unknown locator: {locator!r}")
-    return payloads.select("sha256", F.when(F.octet_length(value) <= LOCATOR_BYTES, value).alias("extracted"))
+    if allowed is not None and (kind in ("row", "shape", "line", "zline") or locator == "$"):
+        value = _only(value, allowed)
+    long = F.octet_length(value) > LOCATOR_BYTES
+    short = F.regexp_replace(F.make_valid_utf8(F.substring(value.cast("binary"), 1, LOCATOR_BYTES).cast("string")), "\ufffd$", "")
+    return payloads.select("sha256", F.when(long, short).otherwise(value).alias("extracted"), F.coalesce(long, F.lit(False)).alias("truncated"))
+
+
+def _csv_record(text: str, n: int) -> str | None:
+    rows = list(csv.reader(io.StringIO(text)))
+    return json.dumps(dict(zip(rows[0], rows[n - 1], strict=False)), ensure_ascii=False) if 2 <= n <= len(rows) else None
+
+
+def _zip_line(content: bytes, n: int) -> str | None:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        lines = z.read(z.namelist()[0]).decode("utf-8").splitlines()
+    return lines[n] if n < len(lines) else None
+
+
+def _shape_record(content: bytes, n: int) -> str | None:
+    from orrery.sources.readers import dbf_records
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        table = next((m for m in z.namelist() if m.lower().endswith(".dbf")), None)
+        rows = dbf_records(z.read(table)) if table else []
+    return json.dumps(rows[n], ensure_ascii=False) if n < len(rows) and rows[n] is not None else None
+
+
+def _only(value: Column, allowed: list[str]) -> Column:
+    """Of JSON objects the allowed fields; other texts as they are."""
+
+    def keep(text: str) -> str:
+        try:
+            record = json.loads(text)
+        except ValueError:
+            return text
+        return json.dumps({k: v for k, v in record.items() if k in allowed}, ensure_ascii=False) if isinstance(record, dict) else text
+
+    return F.pandas_udf(lambda s: s.map(keep, na_action="ignore"), "string")(value)
 
 
 def write_shards(rows: DataFrame, key: str, shards: int, path: str) -> None:

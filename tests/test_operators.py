@@ -1,8 +1,10 @@
 """Operators against brute force and against declared expectations."""
 
+import collections
 import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,11 +101,36 @@ def test_components_paths_and_costs(spark):
     assert graph.shortest_path(chain, "x", "e").count() == 0
 
 
+def test_frequent_words_only_filter(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "common" + (" rare" if i % 9 == 0 else ""), "", "", "") for i in range(40)], "id int, label string, aliases string, identifiers string, text string")
+    index = search.Index.of(docs, "id", list(search.WEIGHTS))
+    monkeypatch.setattr(search, "FREQUENT", 10)
+    both, alone, every = (search.search(index, q, 50).collect() for q in ("common rare", "rare", "common"))
+    assert [r["id"] for r in both] == [r["id"] for r in alone] == [0, 9, 18, 27, 36] and [r["score"] for r in both] == [r["score"] for r in alone]
+    assert len(every) == 40 and {r["score"] for r in every} == {0.0}
+
+
+def test_large_frontiers_are_joined(spark, monkeypatch):
+    rng = random.Random(1)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(90)}
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", "relation", "t", f"{a}-{b}") for a, b in pairs], "src string, dst string, kind string, type string, ref string")
+    start = spark.createDataFrame([("n01",)], "node string")
+    run = lambda: (sorted(graph.reach(edges, start, 4).collect()), sorted(map(tuple, graph.neighbourhood(edges, "n01", 3, 4).collect())), sorted(graph.reach(edges, start, 3, True).collect()))
+    pushed = run()
+    monkeypatch.setattr(graph, "PUSHED", 1)
+    assert run() == pushed
+    limited = graph.neighbourhood(edges, "n01", 3, 4, max_nodes=6).collect()
+    assert len({r["other"] for r in limited} | {"n01"}) <= 6
+    kept = spark.createDataFrame([(f"n{i:02}",) for i in range(0, 60, 2)], "node string")
+    assert all(int(r["other"][1:]) % 2 == 0 or r["other"] == "n01" for r in graph.neighbourhood(edges, "n01", 2, 9, kept).collect())
+    assert graph.by_node(edges).count() == len(pairs)
+
+
 def test_search_ranks_labels_first(spark):
     docs = spark.createDataFrame([(1, "Élan vital", "", "", "nothing"), (2, "other", "", "", "an elan of sorts"), (3, "third", "", "", "more words here")], "id int, label string, aliases string, identifiers string, text string")
-    index = search.postings(docs, "id", list(search.WEIGHTS))
-    assert [r["id"] for r in search.search(index, "id", "élan", 5).collect()] == []  # the query is matched as it stands
-    assert [r["id"] for r in search.search(index, "id", "ELAN", 5).collect()] == [1, 2]
+    index = search.Index.of(docs, "id", list(search.WEIGHTS))
+    assert [r["id"] for r in search.search(index, "élan", 5).collect()] == []  # the query is matched as it stands
+    assert [r["id"] for r in search.search(index, "ELAN", 5).collect()] == [1, 2]
     assert search.plan_prefixes({"a": 30000, "b": 5}) == (["b"], ["a"])
 
 
@@ -191,3 +218,19 @@ def test_adapter_has_no_lost_rows(spark):
     sf = "/root/testdata/sf0.001"
     assert adapter.events(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
     assert adapter.objects(spark, sf).where("lon IS NULL").select("type").distinct().count() == 2
+
+
+def test_timeline_of_partial_years_places_and_sources(spark):
+    day = 86_400_000
+    rows = [("event", "e", "s" + str(i % 2), 0.9, 100 + i % 3, 100, 1640995200000 + i * 9 * day) for i in range(130)]  # 2022-01-01 on
+    df = spark.createDataFrame(rows, "kind string, type string, source string, confidence double, cx int, cy int, t_ms long")
+    table = cube.build(df)
+    window = (1646092800000, 1709251200000)  # 2022-03-01 .. 2024-03-01
+    scoped = scope.Scope.of({"time_window": list(window), "sources": ["s1"]})
+    code = lambda t: int(time.strftime("%Y%m", time.gmtime(t / 1000)))
+    want = [r for r in rows if r[2] == "s1" and 202203 <= code(r[-1]) <= 202403]
+    got = {r["period"]: r["n"] for r in cube.timeline(table, scoped, "year").collect()}
+    assert got == {y * 100: sum(code(r[-1]) // 100 == y for r in want) for y in (2022, 2023, 2024)}
+    months = {r["period"]: r["n"] for r in cube.timeline(table, scoped, "month").collect()}
+    assert months == collections.Counter(code(r[-1]) for r in want)
+    assert (cube.bucket_of(window), cube.bucket_of(window, "hour"), cube.bucket_of(window, "year"), cube.bucket_of((0, day))) == ("month", "month", "year", "hour")

@@ -62,7 +62,14 @@ def test_shapes():
     rings = readers.shp_polygons(shp)[0]
     assert [len(r) for r in rings] == [5, 5] and len(readers.polygons_with_holes(rings)) == 1
     head = struct.pack("<4xIHH20x", 2, 32 + 32 + 1, 6) + b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([5]) + b"\0" * 15 + b"\r"
-    assert readers.dbf_records(head + b" abcde" + b"*gone ") == [{"NAME": "abcde"}]
+    assert readers.dbf_records(head + b" abcde" + b"*gone ") == [{"NAME": "abcde"}, None]
+    assert readers.polygons_with_holes(rings) == [[outer[::-1], hole[::-1]]]
+    alone = [(9, 9), (10, 9), (10, 10), (9, 10), (9, 9)]
+    assert readers.polygons_with_holes([alone, [(0, 0), (1, 1), (0, 0)], *rings]) == [[outer[::-1], hole[::-1]], [alone]]
+    for code in (1002, 0x80000002, 2002, 0x40000002):
+        assert readers.wkb_lines(struct.pack("<BII6d", 1, code, 2, 1, 2, 9, 3, 4, 9)) == [[(1, 2), (3, 4)]]
+    assert readers.wkb_lines(struct.pack("<BIII8d", 1, 0xE0000002, 4326, 2, 1, 2, 9, 8, 3, 4, 9, 8)) == [[(1, 2), (3, 4)]]
+    assert readers.wkb_lines(struct.pack("<BII", 1, 1005, 1) + struct.pack("<BII6d", 1, 1002, 2, 1, 2, 9, 3, 4, 9)) == [[(1, 2), (3, 4)]]
     line = struct.pack("<BII4d", 1, 2, 2, 1.0, 2.0, 3.0, 4.0)
     assert readers.wkb_lines(line) == [[(1.0, 2.0), (3.0, 4.0)]]
     assert readers.wkb_lines(struct.pack("<BII", 1, 5, 1) + line) == [[(1.0, 2.0), (3.0, 4.0)]]
@@ -78,7 +85,19 @@ def test_store(spark, tmp_path):
     raw = store.raw_payloads(spark, str(tmp_path))
     assert raw.count() == 2 and store.damaged(raw).count() == 1
     rows = spark.createDataFrame([("h", '{"a": [{"b": 7}]}\nsecond')], "sha256 string, text string")
-    assert store.extract(rows, "line:2").first()["extracted"] == "second"
+    assert [store.extract(rows, f"line:{n}").first()["extracted"] for n in (1, 2)] == ["second", None]
+    table = spark.createDataFrame([("h", 'a,b\n1,"x\ny"\n2,z\n')], "sha256 string, text string")
+    assert [store.extract(table, f"row:{n}", ["b"]).first()["extracted"] for n in (1, 2, 3, 4)] == [None, '{"b": "x\\ny"}', '{"b": "z"}', None]
+    packed = io.BytesIO()
+    head = struct.pack("<4xIHH20x", 2, 32 + 32 + 1, 6) + b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([5]) + b"\0" * 15 + b"\r"
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", '{"k": 1, "s": 2}\n{"k": 3}\n')
+        z.writestr("a.dbf", head + b"*gone " + b" abcde")
+    files = spark.createDataFrame([("h", packed.getvalue())], "sha256 string, content binary")
+    got = [store.extract(files, x, ["k", "NAME"]).first()["extracted"] for x in ("zline:0", "zline:2", "shape:0", "shape:1")]
+    assert got == ['{"k": 1}', None, None, '{"NAME": "abcde"}']
+    big = spark.createDataFrame([("h", "é" * 200_000)], "sha256 string, text string")
+    assert tuple(store.extract(big, "line:0").first()[1:]) == ("é" * (128 << 10), True)
     assert store.extract(spark.createDataFrame([("h", '{"a": [{"b": 7}]}')], "sha256 string, text string"), "$.a[0].b", ["a"]).first()["extracted"] == "7"
     store.write_shards(spark.range(50).select(F.col("id").cast("string").alias("k")), "k", 4, str(tmp_path / "shards"))
     assert spark.read.json(str(tmp_path / "shards")).count() == 50
