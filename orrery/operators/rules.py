@@ -141,7 +141,7 @@ class Compiler:
             r = w.relations.where(F.col("type") == c["type"])
             if c.get("min_independent_groups"):
                 r = r.where(F.col("groups") >= int(c["min_independent_groups"]))
-            return r.groupBy(F.col("from_id").alias("_a"), F.col("to_id").alias("_b")).agg(F.max("confidence").alias("_rel"))
+            return r.groupBy(F.col("from_id").alias("_a"), F.col("to_id").alias("_b")).agg(F.max("confidence").alias("_rel"), F.min_by("relation_id", F.struct(-F.col("confidence"), "relation_id")).alias("_relid"))
         if op == "shares_participant":
             roles = lambda k: w.participations.where(F.col("role").isin(*c[k])) if c.get(k) else w.participations
             a = roles("roles_a").select(F.col("event_id").alias("_a"), "object_id").distinct()
@@ -165,7 +165,7 @@ class Compiler:
         key = self._key(c)
         if links is not None:
             mine, theirs = ("_a", "_b") if other == a else ("_b", "_a")
-            links = links.withColumnRenamed("_rel", f"rel:{key}") if "_rel" in links.columns else links
+            links = links.withColumnsRenamed({"_rel": f"rel:{key}", "_relid": f"relid:{key}"})
             found = right.join(links, F.col(f"{new}_id") == F.col(theirs)).drop(theirs)
             return left.join(found, F.col(f"{other}_id") == F.col(mine), "left" if keep_all else "inner").drop(mine)
         if c["op"] == "within_time":
@@ -215,21 +215,23 @@ class Compiler:
         mark = f"ok:{key}"
         if mark not in df.columns:
             links = self._links(c)
-            extra = [F.col("_rel").alias(f"rel:{key}")] if "_rel" in links.columns else []
+            extra = [F.col("_rel").alias(f"rel:{key}"), F.col("_relid").alias(f"relid:{key}")] if "_rel" in links.columns else []
             links = links.select(F.col("_a").alias("__a"), F.col("_b").alias("__b"), F.lit(True).alias(mark), *extra)
             df = df.join(links, (F.col(f"{a}_id") == F.col("__a")) & (F.col(f"{b}_id") == F.col("__b")), "left").drop("__a", "__b")
         return df, F.coalesce(F.col(f"`{mark}`"), F.lit(False)), F.lit(1.0)
 
-    def bindings(self, anchors: DataFrame | None = None) -> DataFrame:
+    def bindings(self, only: DataFrame | None = None, start: str | None = None) -> DataFrame:
         """All complete bindings with columns <var>_<carried>, factor:<constraint> and score.
 
-        anchors: ids (column id) to which the anchor is held, for an incremental run.
+        The joins begin at a variable, the anchor if none is named; only: ids (column id)
+        to which that variable is held, for an incremental run, whose cost then
+        follows those ids and not the world.
         """
-        rule = self.rule
-        df = self.scan(rule.anchor)
-        if anchors is not None:
-            df = df.join(anchors.select(F.col("id").alias("_i")), F.col(f"{rule.anchor}_id") == F.col("_i"), "left_semi")
-        bound, tested, factors = [rule.anchor], set(), {}
+        rule, start = self.rule, start or self.rule.anchor
+        df = self.scan(start)
+        if only is not None:
+            df = df.join(only.select(F.col("id").alias("_i")), F.col(f"{start}_id") == F.col("_i"), "left_semi")
+        bound, tested, factors = [start], set(), {}
 
         def test_all(df: DataFrame) -> DataFrame:
             for i, c in enumerate(rule.constraints):
@@ -251,7 +253,7 @@ class Compiler:
                         factors[self._key(c)] = True
             return df
 
-        left = [v["name"] for v in rule.variables if v["name"] != rule.anchor]
+        left = [v["name"] for v in rule.variables if v["name"] != start]
         while left:
             choices = [(GENERATING.index(c["op"]), left.index(n), n, c) for n in left for c in rule.constraints if c["op"] in GENERATING and not (c.get("optional") and not rule.var[n].get("optional")) and n in (c["a"], c["b"]) and (c["b"] if n == c["a"] else c["a"]) in bound]
             required = [x for x in choices if not rule.var[x[2]].get("optional")] or choices
@@ -381,18 +383,19 @@ def lifecycle(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def affected_anchors(rule: Rule, world: World, changed: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """id of anchors to compute again when entities changed: themselves, those bound to a changed one, those of insights that hold one."""
+    """id of anchors to compute again when entities changed: themselves, those bound to a changed one, those of insights that hold one.
+
+    Bindings are solved from the changed entities on, variable by variable.
+    """
     c = Compiler(rule, world)
     found = c.scan(rule.anchor).select(F.col(f"{rule.anchor}_id").alias("id")).join(changed.select("id"), "id", "left_semi")
-    bound = c.bindings()
     for v in rule.variables:
         if v["name"] != rule.anchor:
-            hit = bound.join(changed.select(F.col("id").alias("_c")), F.col(f"{v['name']}_id") == F.col("_c"), "left_semi")
-            found = found.unionByName(hit.select(F.col(f"{rule.anchor}_id").alias("id")))
+            found = found.unionByName(c.bindings(changed, v["name"]).select(F.col(f"{rule.anchor}_id").alias("id")))
     if members is not None:
         held = members.join(changed.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
         found = found.unionByName(members.join(held.select("insight_id").distinct(), "insight_id", "left_semi").where(F.col("role") == rule.anchor).select(F.col("entity_id").alias("id")))
-    return found.distinct()
+    return found.where("id IS NOT NULL").distinct()
 
 
 def run_in_full(n_changed: int, n_anchors: int) -> bool:

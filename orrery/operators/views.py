@@ -127,3 +127,53 @@ def project_on_line(points: DataFrame, line: list[tuple[float, float]]) -> DataF
     rows = points.crossJoin(F.broadcast(s)).withColumn("km", geo.point_segment_km(c("lon"), c("lat"), c("ax"), c("ay"), c("bx"), c("by")))  # the segments of one line
     best = rows.groupBy("id").agg(F.min(F.struct("km", "seg", "before")).alias("m"))
     return best.select("id", "m.seg", "m.km", "m.before")
+
+
+def places_index(places: DataFrame, names: DataFrame, least_rank: float | None = None) -> DataFrame:
+    """id, type, label, aliases, clear_name, rank, context: the places that a search reads first.
+
+    places has id, type, label, rank, context, sovereignty, sovereign; names has entity_id and alias. Places
+    below the least rank, or without one, are left to the full search. A label that
+    abbreviates gets the sovereign state's name as its clear one, if that is one of its names.
+    """
+    rows = places if least_rank is None else places.where(F.col("rank") >= least_rank)
+    own = names.groupBy(F.col("entity_id").alias("_e")).agg(F.sort_array(F.collect_set("alias")).alias("_names"))
+    rows = rows.join(own, F.col("id") == F.col("_e"), "left")
+    others = F.array_remove(F.coalesce("_names", F.array().cast("array<string>")), F.col("label"))
+    clear = F.when(F.col("label").contains(".") & F.col("sovereign") & F.array_contains(others, F.col("sovereignty")), F.col("sovereignty"))
+    return rows.select("id", "type", "label", others.alias("aliases"), clear.alias("clear_name"), "rank", "context")
+
+
+def indicators_of(facts: DataFrame, place: str) -> DataFrame:
+    """indicator, period, value, before, change, source: the latest fact of each indicator of a place, and the one before."""
+    w = Window.partitionBy("indicator").orderBy(F.desc("period"), "source")
+    rows = facts.where(F.col("place") == place)
+    rows = rows.withColumns({"_r": F.row_number().over(w), "before": F.lead("value").over(w)}).where("_r = 1")
+    return rows.select("indicator", "period", "value", "before", (F.col("value") - F.col("before")).alias("change"), "source")
+
+
+def indicator_catalog(facts: DataFrame) -> DataFrame:
+    """indicator, places, first, last, n: what there is of each indicator."""
+    return facts.groupBy("indicator").agg(F.countDistinct("place").alias("places"), F.min("period").alias("first"), F.max("period").alias("last"), F.count("*").alias("n"))
+
+
+def flows_of(flows: DataFrame, place: str, k: int) -> DataFrame:
+    """dir, indicator, partner, value, rank: the largest flows out of a place and into it, k of each indicator."""
+    out = flows.where(F.col("origin") == place).select(F.lit("out").alias("dir"), "indicator", F.col("target").alias("partner"), "value")
+    back = flows.where(F.col("target") == place).select(F.lit("in").alias("dir"), "indicator", F.col("origin").alias("partner"), "value")
+    w = Window.partitionBy("dir", "indicator").orderBy(F.desc("value"), "partner")
+    return out.unionByName(back).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def status(**kinds: DataFrame) -> DataFrame:
+    """kind, type, n of all rows of the given tables, by one aggregation of each."""
+    parts = [df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "type", "n") for k, df in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def data_received(events: DataFrame) -> DataFrame:
+    """source, n, first_ms, last_ms: what has come from each source, and when."""
+    return events.groupBy("source").agg(F.count("*").alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import confidence, ids
+from orrery.functions.text import norm_name
 from orrery.operators.temporal import claims as _claims
 
 
@@ -118,3 +119,53 @@ def maintain_edges(edges: DataFrame, added: DataFrame, removed: DataFrame) -> Da
 def evidence_weights(evidence: DataFrame) -> Column:
     """Weight of evidence rows with reliability, method, status, completeness."""
     return confidence.evidence_weight(F.col("reliability"), F.col("method"), F.col("status"), F.col("completeness"))
+
+
+#: Where a name comes from, the most telling first.
+ORIGINS = ("label", "source", "vocab")
+
+
+def aliases(records: DataFrame, matched: list[str], vocabulary: DataFrame) -> DataFrame:
+    """entity_id, name (normal form), alias, type, origin: each name of an entity once, from the first origin that gives it.
+
+    records has entity_id, type, label, aliases and identifiers ('scheme:value') as arrays; the
+    label counts for the types in matched. vocabulary has type, identifier, alias.
+    """
+    own = records.select("entity_id", "type", F.explode(F.concat(F.when(F.col("type").isin(*matched), F.array(F.struct(F.col("label").alias("alias"), F.lit(0).alias("o")))).otherwise(F.array().cast("array<struct<alias:string,o:int>>")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("alias"), F.lit(1).alias("o"))))).alias("n"))
+    named = records.select("entity_id", "type", F.explode("identifiers").alias("identifier")).join(vocabulary, ["type", "identifier"])
+    rows = own.select("entity_id", "type", "n.alias", "n.o").unionByName(named.select("entity_id", "type", "alias", F.lit(2).alias("o")))
+    rows = rows.withColumn("name", norm_name(F.col("alias"))).where(F.col("name") != "")
+    best = rows.groupBy("entity_id", "name").agg(F.min(F.struct("o", "alias", "type")).alias("b"))
+    return best.select("entity_id", "name", "b.alias", "b.type", F.element_at(F.array(*map(F.lit, ORIGINS)), F.col("b.o") + 1).alias("origin"))
+
+
+def undeclared(evidence: DataFrame, declared: DataFrame) -> DataFrame:
+    """The evidence of participations whose role the event's type (declared: type, role) does not know."""
+    return evidence.join(declared, ["type", "role"], "left_anti")
+
+
+def participation_groups(evidence: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """event_id, object_id, role, grp, best, n: the state of participations, from evidence and from an earlier state.
+
+    Best values and counts merge in any order, so that batches one after the other give
+    what all evidence at once gives.
+    """
+    key = ["event_id", "object_id", "role", "grp"]
+    rows = evidence.select(*key, F.col("weight").alias("best"), F.lit(1).cast("long").alias("n"))
+    rows = rows if known is None else rows.unionByName(known)
+    return rows.groupBy(*key).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+
+
+def participations(groups: DataFrame) -> DataFrame:
+    """event_id, object_id, role, confidence, groups, n_evidence: independent groups support a participation together."""
+    per = groups.groupBy("event_id", "object_id", "role").agg(F.sort_array(F.collect_list(F.struct("grp", "best"))).alias("g"), F.sum("n").alias("n_evidence"))
+    rest = F.aggregate("g", F.lit(1.0), lambda a, x: a * (1 - x["best"]))
+    return per.select("event_id", "object_id", "role", F.round(1 - rest, 12).alias("confidence"), F.size("g").cast("long").alias("groups"), "n_evidence")
+
+
+def change_log(changes: DataFrame) -> DataFrame:
+    """version, kind, id, op: each batch of changes (batch, kind, id, op) is one version of the world, from 1, in order."""
+    from orrery.operators.graph import numbered
+
+    versions = numbered(changes.select("batch").distinct(), "batch").select("batch", (F.col("no") + 1).alias("version"))
+    return changes.select("batch", "kind", "id", "op").distinct().join(versions, "batch").select("version", "kind", "id", "op")
