@@ -148,7 +148,7 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.02, id_col="do
     """
     mark, results = free_name(docs), ["size", "text_crc32", "shard", "slot"]
     text, size, key, ident = F.col(text_col), F.col(mark + "size"), F.col(mark + "key"), F.col(mark + "id")
-    keyed = docs.withColumns({mark + "size": text_bytes(text) + FRAME_BYTES, mark + "key": text_key(text), mark + "id": id_number(docs, id_col)})
+    keyed = docs.withColumns({mark + "size": text_bytes(text) + FRAME_BYTES, mark + "crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), mark + "key": text_key(text), mark + "id": id_number(docs, id_col)})
     narrow = materialise(keyed.select(key.alias("key"), ident.alias("id"), size.alias("size")))
     cuts = splitters(narrow, shards, tolerance)
 
@@ -170,7 +170,7 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.02, id_col="do
     place = F.row_number().over(Window.partitionBy(mark + "shard", mark + "part").orderBy(key, ident)) - 1
     out = out.withColumn(mark + "n", place)
     out = out.join(F.broadcast(starts), (F.col(mark + "shard") == F.col(mark + "s")) & (F.col(mark + "part") == F.col(mark + "p")))
-    made = [size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.col(mark + "shard").alias("shard"), (F.col(mark + "start") + F.col(mark + "n")).cast("long").alias("slot")]
+    made = [size.alias("size"), F.col(mark + "crc").alias("text_crc32"), F.col(mark + "shard").alias("shard"), (F.col(mark + "start") + F.col(mark + "n")).cast("long").alias("slot")]
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], *made)
 
 
