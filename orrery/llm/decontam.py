@@ -35,7 +35,7 @@ BROADCAST_ROWS = 1_000_000
 #: A document is contaminated if at least 1 / MIN_PART of its words are hit.
 MIN_PART = 20
 #: Texts whose runs a task remembers to have told.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 
 #: Bytes that separate words: ASCII but for digits and letters; A-Z turn to a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
