@@ -6,8 +6,8 @@ more, by a draw that is seeded with its id.
 
 Nothing but per-source sums crosses the network before the documents meet their
 source's plan: one row for each source, and one for each source and slice of the
-draw. The join of documents with the plan is left to the optimiser, which
-broadcasts the plan where its measured size allows and else splits hot sources.
+draw. The plan is broadcast if it is counted to be short; else the join is left to the
+optimiser, which splits hot sources.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from orrery.llm.common import draw32, free_name, materialise, n_words, table
 #: Slices of the draw for which words are counted: the cut of a source is moved
 #: to the slice where its drawn words come nearest to the wanted fraction.
 SLICES = 4096
+#: Sources whose plan is broadcast at most; with more the documents meet it in a shuffle, which may split hot sources.
+BROADCAST_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share=1.5, max_repeat=2) -> DataFrame:
@@ -95,7 +97,8 @@ def mix(docs: DataFrame, seed: str = "mix", id_col="doc_id", text_col="text", so
     mark, results = free_name(docs), ["size", "source_size", "target", "copies"]
     base = docs.withColumns({mark + "size": n_words(F.col(text_col)), mark + "slice": _slice(F.col(id_col), seed)})
     plan = plan_mix(base.select(F.col(source_col).alias("source"), F.col(mark + "size").alias("size"), F.col(mark + "slice").alias("slice")), **params)
-    plan = plan.select(*[F.col(c).alias(mark + "plan_" + c) for c in plan.columns])
+    plan = materialise(plan.select(*[F.col(c).alias(mark + "plan_" + c) for c in plan.columns]))
+    plan = F.broadcast(plan) if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else plan
     out = base.join(plan, F.col(source_col).eqNullSafe(F.col(mark + "plan_source")), "left")
     copies = F.col(mark + "plan_copies") + F.when(F.col(mark + "slice") < F.col(mark + "plan_cut"), 1).otherwise(0)
     made = [F.col(mark + "size").alias("size"), F.col(mark + "plan_source_size").alias("source_size"), F.col(mark + "plan_target").alias("target"), copies.alias("copies")]
