@@ -28,9 +28,14 @@ def series(points: DataFrame, key: list[str], at: str, tie: str, value: str, n:
 
 
 def pairs_by_topic(listed: DataFrame) -> DataFrame:
-    """topic, reality, perception: topics with official and survey series, the ids of each."""
-    ids = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("id")))), lambda x: x.cast("string")), ",")
-    return listed.groupBy("topic").agg(ids("official").alias("reality"), ids("survey").alias("perception")).where("reality <> '' AND perception <> ''")
+    """topic, side, id: official series (reality) and surveys (perception) of the topics that have both.
+
+    A row for each series, so that a topic of any size is no list; topics are found by partial sums.
+    """
+    side = F.when(F.col("kind") == "official", "reality").when(F.col("kind") == "survey", "perception")
+    rows = listed.select("topic", side.alias("side"), "id").where("side IS NOT NULL")
+    both = rows.groupBy("topic").agg(F.min("side").alias("_a"), F.max("side").alias("_b")).where("_a < _b")
+    return rows.join(both, "topic", "left_semi")
 
 
 def zones(rows: DataFrame) -> DataFrame:

@@ -52,17 +52,12 @@ def entity_timeline(spark, sf):
     return rows.withColumn("place", F.row_number().over(Window.orderBy("t_ms", "ref", "kind")))
 
 
-@query("tenure_state", """WITH t AS (SELECT c_nationkey AS office, c_custkey AS person, CASE WHEN c_custkey % 11 > 0 THEN strftime(DATE '2000-01-01' + INTERVAL (c_custkey % 40) DAY, '%Y-%m-%d') END AS start, CASE WHEN c_custkey % 2 = 0 THEN '2020-01-01' END AS end_day, CASE WHEN c_custkey % 5 = 0 THEN 'preferred' ELSE 'normal' END AS rank, c_nationkey % 3 = 0 AS collegial FROM customer WHERE c_custkey % 9 = c_nationkey % 9),
+@query("tenure_state", """WITH t AS (SELECT c_nationkey AS office, c_custkey AS person, CASE WHEN c_custkey % 11 > 0 THEN strftime(DATE '2000-01-01' + INTERVAL (c_custkey % 40) DAY, '%Y-%m-%d') END AS start, CASE WHEN c_custkey % 2 = 0 THEN '2020-01-01' END AS end_day, CASE WHEN c_custkey % 5 = 0 THEN 'preferred' ELSE 'normal' END AS rank, c_nationkey % 3 = 0 AS collegial FROM customer),
 s AS (SELECT *, CASE WHEN end_day IS NOT NULL THEN 'ended' WHEN start IS NULL THEN 'undated' WHEN start = max(start) FILTER (end_day IS NULL) OVER (PARTITION BY office) THEN 'current' ELSE 'superseded' END AS st FROM t),
 h AS (SELECT office, any_value(collegial) AS coll, count(DISTINCT person) FILTER (st = 'current') AS holders, bool_or(st = 'superseded' AND rank = 'preferred') AS pref FROM s GROUP BY office)
 SELECT s.office, s.person, CASE WHEN st = 'current' AND NOT coll AND (holders > 1 OR pref) THEN 'conflict' ELSE st END AS state, CASE WHEN NOT coll AND (holders > 1 OR pref) THEN 'ambiguous' WHEN holders = 0 THEN 'none' WHEN coll THEN 'collegial' ELSE 'unique' END AS outcome FROM s JOIN h USING (office)""")
 def tenure_state(spark, sf):
-    return tenure_state_all(spark, sf, "c_custkey % 9 = c_nationkey % 9")
-
-
-@query("tenure_state_all")
-def tenure_state_all(spark, sf, bound="true"):
-    c = A.table(spark, sf, "customer").where(bound)
+    c = A.table(spark, sf, "customer")
     start = F.when(F.col("c_custkey") % 11 > 0, F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") % 40).cast("int")), "yyyy-MM-dd"))
     terms = c.select(F.col("c_nationkey").alias("office"), F.col("c_custkey").alias("person"), start.alias("start"), F.when(F.col("c_custkey") % 2 == 0, "2020-01-01").alias("end_day"), F.when(F.col("c_custkey") % 5 == 0, "preferred").otherwise("normal").alias("rank"), (F.col("c_nationkey") % 3 == 0).alias("collegial"))
     return TM.tenures(terms).select("office", "person", "state", "outcome")
@@ -91,43 +86,28 @@ def comparison_same_month(spark, sf):
     return AN.against_year_before(p, "m", "v")
 
 
-@query("series_assembly", "WITH t AS (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, event_id, value FROM events WHERE user_id < 20) SELECT event_type, user_id, count(*) AS n, string_agg(value::VARCHAR, ';' ORDER BY t, event_id) AS points FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY t DESC, event_id DESC) AS r FROM t) WHERE r <= 10 GROUP BY ALL")
+@query("series_assembly", "WITH t AS (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, event_id, value FROM events) SELECT event_type, user_id, count(*) AS n, string_agg(value::VARCHAR, ';' ORDER BY t, event_id) AS points FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY t DESC, event_id DESC) AS r FROM t) WHERE r <= 10 GROUP BY ALL")
 def series_assembly(spark, sf):
-    return series_assembly_all(spark, sf, "user_id < 20")
-
-
-@query("series_assembly_all")
-def series_assembly_all(spark, sf, bound="true"):
-    e = A.events(spark, sf).where(bound).select(F.col("type").alias("event_type"), "user_id", "t_ms", "n", "value")
+    e = A.events(spark, sf).select(F.col("type").alias("event_type"), "user_id", "t_ms", "n", "value")
     return AN.series(e, ["event_type", "user_id"], "t_ms", "n", "value", 10)
 
 
-@query("reality_perception_pairs", "WITH s AS (SELECT p_type AS topic, p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'survey' ELSE 'other' END AS kind FROM part WHERE p_partkey % 10 < 3) SELECT topic, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (kind = 'official') AS reality, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (kind = 'survey') AS perception FROM s GROUP BY topic HAVING bool_or(kind = 'official') AND bool_or(kind = 'survey')")
+@query("reality_perception_pairs", "WITH s AS (SELECT p_type AS topic, CASE p_partkey % 3 WHEN 0 THEN 'reality' WHEN 1 THEN 'perception' END AS side, p_partkey AS id FROM part) SELECT * FROM s WHERE side IS NOT NULL AND topic IN (SELECT topic FROM s WHERE side = 'reality') AND topic IN (SELECT topic FROM s WHERE side = 'perception')")
 def reality_perception_pairs(spark, sf):
-    return reality_perception_pairs_all(spark, sf, "p_partkey % 10 < 3")
-
-
-@query("reality_perception_pairs_all")
-def reality_perception_pairs_all(spark, sf, bound="true"):
-    p = A.table(spark, sf, "part").where(bound)
+    p = A.table(spark, sf, "part")
     kind = F.when(F.col("p_partkey") % 3 == 0, "official").when(F.col("p_partkey") % 3 == 1, "survey").otherwise("other")
     return AN.pairs_by_topic(p.select(F.col("p_type").alias("topic"), F.col("p_partkey").alias("id"), kind.alias("kind")))
 
 
 _Z = """e AS (SELECT user_id % 20 AS state, props AS unit, event_id, ts, event_type, value, lon, lat FROM (SELECT *, ((user_id * 7919) % 36000)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE AS lon, ((user_id * 104729) % 17000)::DOUBLE / 100.0::DOUBLE - 85.0::DOUBLE AS lat FROM events)
-WHERE value >= 1 AND event_id % 7 = 1 AND ts::DATE > (SELECT max(ts::DATE) FROM events) - 15)"""
+WHERE value >= 1 AND ts::DATE > (SELECT max(ts::DATE) FROM events) - 15)"""
 
 
 @query("zone_rules", f"""WITH {_Z}, g AS (SELECT state, unit, count(*) AS n, sum(floor(value))::BIGINT AS deaths, count(*) FILTER (event_type = 'error' AND event_id % 5 <> state % 5) AS foreign_n, count(DISTINCT (floor((lon + 180) / 0.5::DOUBLE), floor((lat + 90) / 0.5::DOUBLE))) AS n_cells FROM e GROUP BY ALL),
 r AS (SELECT *, CASE WHEN n >= 3 THEN 'R1' WHEN deaths >= 25 AND n >= 2 THEN 'R2' WHEN foreign_n > 0 THEN 'O1' END AS rule FROM g) SELECT state, unit, n, deaths, foreign_n, n_cells, rule, CASE WHEN rule IN ('R1', 'R2') THEN 'red' ELSE 'orange' END AS color FROM r WHERE rule IS NOT NULL""")
 def zone_rules(spark, sf):
-    return zone_rules_all(spark, sf, "event_id % 7 = 1")
-
-
-@query("zone_rules_all")
-def zone_rules_all(spark, sf, bound="true"):
     e = A.table(spark, sf, "events")
-    e = e.withColumns({"lon": A.lon_of(F.col("user_id")), "lat": A.lat_of(F.col("user_id")), "day": F.to_date("ts")}).where("value >= 1").where(bound)
+    e = e.withColumns({"lon": A.lon_of(F.col("user_id")), "lat": A.lat_of(F.col("user_id")), "day": F.to_date("ts")}).where("value >= 1")
     last = A.table(spark, sf, "events").agg(F.max(F.to_date("ts")).alias("last"))
     e = e.crossJoin(F.broadcast(last)).where(F.col("day") > F.date_sub("last", 15))  # one row
     state = F.col("user_id") % 20
@@ -243,14 +223,9 @@ def observed_and_predicted(spark, sf):
     return TM.latest(rows, ["slot", "kind"], F.desc("t_ms"), F.asc("n")).select("slot", "kind", "n")
 
 
-@query("wide_to_long", "SELECT l_orderkey, name, max(value) AS value FROM (UNPIVOT (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey < 300) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value) GROUP BY ALL")
+@query("wide_to_long", "SELECT l_orderkey, name, max(value) AS value FROM (UNPIVOT (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value) GROUP BY ALL")
 def wide_to_long(spark, sf):
-    return wide_to_long_all(spark, sf, "l_orderkey < 300")
-
-
-@query("wide_to_long_all")
-def wide_to_long_all(spark, sf, bound="true"):
-    li = A.table(spark, sf, "lineitem").where(bound)
+    li = A.table(spark, sf, "lineitem")
     return AN.wide_to_long(li, ["l_orderkey"], ["l_quantity", "l_discount", "l_tax"]).groupBy("l_orderkey", "name").agg(F.max("value").alias("value"))
 
 
@@ -349,8 +324,12 @@ def json_props(spark, sf):
 
 @query("array_and_map_ops", "WITH a AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS l FROM events GROUP BY 1) SELECT user_id, array_to_string(list_slice(l, 1, 8), ',') AS first8, len(list_distinct(l)) AS kinds, len(list_filter(l, lambda x: x = 'click')) AS clicks FROM a")
 def array_and_map_ops(spark, sf):
-    e = A.table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("l"))
-    return e.select("user_id", F.array_join(F.slice("l", 1, 8), ",").alias("first8"), F.size(F.array_distinct("l")).cast("long").alias("kinds"), F.size(F.filter("l", lambda x: x == "click")).cast("long").alias("clicks"))
+    """Lists hold the first eight events of a user, maps its counts by type, however many it has."""
+    e = A.table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    first = C.top_per_group(e, ["user_id"], [F.asc("ts"), F.asc("event_id")], 8).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))
+    kinds = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    listed = F.array_join(F.transform("l", lambda x: x["event_type"]), ",")
+    return first.join(kinds, "user_id").select("user_id", listed.alias("first8"), F.size("m").cast("long").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).cast("long").alias("clicks"))
 
 
 @query("bitshift_cells", f"WITH {W('object')} SELECT object_id, cx >> 2 AS x6, cy >> 4 AS y4 FROM object WHERE cx IS NOT NULL")

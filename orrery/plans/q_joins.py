@@ -134,9 +134,10 @@ def member_semi_join(spark, sf):
     return second.union(direct).distinct()
 
 
-@query("shared_participants", "SELECT 'event:' || a.event_id AS event_id, 'event:' || b.event_id AS other_id, 1::BIGINT AS n_shared FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_id < 20 UNION ALL SELECT 'event:' || event_id, 'order:' || o_orderkey, 1 FROM events JOIN orders ON o_custkey = user_id WHERE event_id < 20")
+@query("shared_participants", "SELECT 'event:' || a.event_id AS event_id, 'event:' || b.event_id AS other_id, 1::BIGINT AS n_shared FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_id % 100 = 0 UNION ALL SELECT 'event:' || event_id, 'order:' || o_orderkey, 1 FROM events JOIN orders ON o_custkey = user_id WHERE event_id % 100 = 0")
 def shared_participants(spark, sf):
-    seeds = A.events(spark, sf).where("n < 20").select("event_id")
+    """The query set of searches: ids divisible by 100, against all rows."""
+    seeds = A.events(spark, sf).where("n % 100 = 0").select("event_id")
     return R.shared_participants(A.participations(spark, sf), seeds)
 
 
@@ -251,30 +252,20 @@ def tariff_lookup(spark, sf):
     return li.join(rates, key).groupBy("l_suppkey").agg(F.sum(cents).cast("long").alias("cents"))
 
 
-@query("edge_confidence", f"WITH {W('relation')} SELECT e.l_orderkey * 10 + e.l_linenumber AS edge, max(coalesce(CASE WHEN e.l_quantity > 40 THEN 0.99::DOUBLE END, r.confidence)) AS confidence FROM lineitem e LEFT JOIN relation r ON r.relation_id = 'supplies|supplier:' || l_suppkey || '|part:' || l_partkey WHERE l_orderkey < 500 GROUP BY 1")
+@query("edge_confidence", f"WITH {W('relation')} SELECT e.l_orderkey * 10 + e.l_linenumber AS edge, max(coalesce(CASE WHEN e.l_quantity > 40 THEN 0.99::DOUBLE END, r.confidence)) AS confidence FROM lineitem e LEFT JOIN relation r ON r.relation_id = 'supplies|supplier:' || l_suppkey || '|part:' || l_partkey GROUP BY 1")
 def edge_confidence(spark, sf):
-    return edge_confidence_all(spark, sf, "l_orderkey < 500")
-
-
-@query("edge_confidence_all")
-def edge_confidence_all(spark, sf, bound="true"):
-    li = A.table(spark, sf, "lineitem").where(bound)
+    li = A.table(spark, sf, "lineitem")
     ref = F.concat(F.lit("supplies|supplier:"), F.col("l_suppkey").cast("string"), F.lit("|part:"), F.col("l_partkey").cast("string"))
     rows = li.withColumn("ref", ref).join(A.relations(spark, sf).select(F.col("relation_id").alias("ref"), "confidence"), "ref", "left")
     own = F.when(F.col("l_quantity") > 40, 0.99)
     return rows.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge")).agg(F.max(F.coalesce(own, "confidence")).alias("confidence"))
 
 
-@query("support_reference", f"WITH {W('event', 'object')} SELECT 'record' AS kind, event_id AS id, source AS via FROM event WHERE n % 10 = 0 UNION ALL SELECT 'object', subject, label FROM event JOIN object ON object_id = subject WHERE n % 10 = 1")
+@query("support_reference", f"WITH {W('event', 'object')} SELECT 'record' AS kind, event_id AS id, source AS via FROM event UNION ALL SELECT 'object', subject, label FROM event JOIN object ON object_id = subject")
 def support_reference(spark, sf):
-    return support_reference_all(spark, sf, "n % 10 = 0", "n % 10 = 1")
-
-
-@query("support_reference_all")
-def support_reference_all(spark, sf, records="true", objects="true"):
     e = A.events(spark, sf)
-    rec = e.where(records).select(F.lit("record").alias("kind"), F.col("event_id").alias("id"), F.col("source").alias("via"))
-    obj = e.where(objects).join(A.objects(spark, sf).select("object_id", "label"), F.col("object_id") == F.col("subject"))
+    rec = e.select(F.lit("record").alias("kind"), F.col("event_id").alias("id"), F.col("source").alias("via"))
+    obj = e.join(A.objects(spark, sf).select("object_id", "label"), F.col("object_id") == F.col("subject"))
     return rec.unionByName(obj.select(F.lit("object").alias("kind"), F.col("subject").alias("id"), F.col("label").alias("via")))
 
 

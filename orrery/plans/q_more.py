@@ -47,17 +47,12 @@ def news_filter(spark, sf):
     return V.news_filter(_news(spark, sf), nation="n3", category="other", certainty="uncertain").select("id")
 
 
-@query("news_reports", """WITH RECURSIVE r AS (SELECT event_id AS id, props AS url, user_id % 30 AS place, event_type AS action, epoch_us(ts) // 3600000000 AS hour, event_id % 9 AS articles, epoch_us(ts) // 1000 AS t FROM events WHERE event_id % 5 = 0),
+@query("news_reports", """WITH RECURSIVE r AS (SELECT event_id AS id, props AS url, user_id % 30 AS place, event_type AS action, epoch_us(ts) // 3600000000 AS hour, event_id % 9 AS articles, epoch_us(ts) // 1000 AS t FROM events),
 k AS (SELECT id, 'u' || url || '|' || place AS key FROM r UNION ALL SELECT id, 'a' || action || '|' || place || '|' || hour FROM r), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key) WHERE x.id <> y.id),
 c AS (SELECT id AS node, id AS label FROM r UNION SELECT e.b, label FROM c JOIN e ON e.a = c.node WHERE label < e.b), g AS (SELECT node, min(label) AS grp FROM c GROUP BY node)
 SELECT min({'a': -articles, 'id': id}).id AS id, count(*) AS n, sum(articles)::BIGINT AS articles, count(DISTINCT url) AS pages, min(t) AS first, max(t) AS last FROM r JOIN g ON node = id GROUP BY grp""")
 def news_reports(spark, sf):
-    return news_reports_all(spark, sf, "n % 5 = 0")
-
-
-@query("news_reports_all")
-def news_reports_all(spark, sf, bound="true"):
-    e = A.events(spark, sf).join(A.table(spark, sf, "events").select(F.col("event_id").alias("n"), "props"), "n").where(bound)
+    e = A.events(spark, sf).join(A.table(spark, sf, "events").select(F.col("event_id").alias("n"), "props"), "n")
     rows = e.select(F.col("n").alias("id"), F.col("props").alias("url"), (F.col("user_id") % 30).cast("string").alias("place"), F.col("type").alias("action"), F.floor(F.col("t_ms") / 3600000).alias("hour"), (F.col("n") % 9).alias("articles"), F.col("t_ms").alias("t"))
     return V.news_reports(rows)
 
@@ -79,62 +74,41 @@ def timeline_neighbours(spark, sf):
     return V.timeline_neighbours(A.events(spark, sf), A.participations(spark, sf), "event:4", 1, 864_000_000)
 
 
-_EV = "ev AS (SELECT o_orderkey AS supports, o_orderkey // 3 AS support FROM orders WHERE o_orderkey < 900 AND o_orderkey > 2)"
+_EV = "ev AS (SELECT o_orderkey AS supports, o_orderkey // 3 AS support FROM orders WHERE o_orderkey > 2)"
 
 
-def _evidence(spark, sf, bound="o_orderkey < 900"):
-    o = A.table(spark, sf, "orders").where(bound).where("o_orderkey > 2")
+def _evidence(spark, sf):
+    o = A.table(spark, sf, "orders").where("o_orderkey > 2")
     return o.select(F.col("o_orderkey").alias("supports"), F.floor(F.col("o_orderkey") / 3).alias("support"))
 
 
-@query("sources_of_closure", f"WITH RECURSIVE {_EV}, r AS (SELECT supports AS root, supports AS x, 0 AS d FROM ev WHERE supports % 50 = 7 UNION ALL SELECT root, support, d + 1 FROM r JOIN ev ON supports = x WHERE d < 6) SELECT DISTINCT root, o_orderpriority AS source FROM r JOIN orders ON o_orderkey = x")
+@query("sources_of_closure", f"WITH RECURSIVE {_EV}, r AS (SELECT supports AS root, supports AS x, 0 AS d FROM ev UNION ALL SELECT root, support, d + 1 FROM r JOIN ev ON supports = x WHERE d < 64) SELECT DISTINCT root, o_orderpriority AS source FROM r JOIN orders ON o_orderkey = x")
 def sources_of_closure(spark, sf):
-    return sources_of_closure_all(spark, sf, "o_orderkey < 900", "supports % 50 = 7", 6)
-
-
-@query("sources_of_closure_all")
-def sources_of_closure_all(spark, sf, bound="true", rooted="true", depth=A.WHOLE_DEPTH):
-    ev = _evidence(spark, sf, bound)
+    ev = _evidence(spark, sf)
     src = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"))
-    return V.sources_of(ev, src, ev.where(rooted).select(F.col("supports").alias("node")), depth)
+    return V.sources_of(ev, src, ev.select(F.col("supports").alias("node")), A.WHOLE_DEPTH)
 
 
-@query("provenance_complete", f"WITH RECURSIVE {_EV}, r AS (SELECT supports AS root, supports AS x, 0 AS d FROM ev WHERE supports % 50 = 7 UNION ALL SELECT root, support, d + 1 FROM r JOIN ev ON supports = x WHERE d < 6) SELECT root, min(CASE WHEN x <= 1 THEN 1 ELSE 0 END) = 1 AS complete FROM r WHERE x NOT IN (SELECT supports FROM ev) GROUP BY root")
+@query("provenance_complete", f"WITH RECURSIVE {_EV}, r AS (SELECT supports AS root, supports AS x, 0 AS d FROM ev UNION ALL SELECT root, support, d + 1 FROM r JOIN ev ON supports = x WHERE d < 64) SELECT root, min(CASE WHEN x <= 1 THEN 1 ELSE 0 END) = 1 AS complete FROM r WHERE x NOT IN (SELECT supports FROM ev) GROUP BY root")
 def provenance_complete(spark, sf):
-    return provenance_complete_all(spark, sf, "o_orderkey < 900", "supports % 50 = 7", 6)
-
-
-@query("provenance_complete_all")
-def provenance_complete_all(spark, sf, bound="true", rooted="true", depth=A.WHOLE_DEPTH):
-    ev = _evidence(spark, sf, bound)
+    ev = _evidence(spark, sf)
     raws = spark.range(2).select("id")
-    return V.complete_chains(ev, raws, ev.where(rooted).select(F.col("supports").alias("node")), depth)
+    return V.complete_chains(ev, raws, ev.select(F.col("supports").alias("node")), A.WHOLE_DEPTH)
 
 
-@query("evidence_in_and_out", f"WITH {_EV} SELECT 'supports' AS side, supports AS id FROM ev WHERE support = 5 UNION ALL SELECT 'rests_on', support FROM ev WHERE supports = 15")
+@query("evidence_in_and_out", f"WITH {_EV} SELECT support AS node, 'supports' AS side, supports AS id FROM ev UNION ALL SELECT supports, 'rests_on', support FROM ev")
 def evidence_in_and_out(spark, sf):
+    """Both sides of every record."""
     ev = _evidence(spark, sf)
-    return ev.where("support = 5").select(F.lit("supports").alias("side"), F.col("supports").alias("id")).unionByName(ev.where("supports = 15").select(F.lit("rests_on").alias("side"), F.col("support").alias("id")))
-
-
-@query("evidence_in_and_out_all")
-def evidence_in_and_out_all(spark, sf):
-    """Both sides of every record, and not of two."""
-    ev = _evidence(spark, sf, "true")
     sides = F.array(*(F.struct(F.col(a).alias("node"), F.lit(side).alias("side"), F.col(b).alias("id")) for a, side, b in (("support", "supports", "supports"), ("supports", "rests_on", "support"))))
     return ev.select(F.explode(sides).alias("s")).select("s.*")
 
 
-@query("line_chains", """WITH RECURSIVE l AS (SELECT DISTINCT o_orderkey AS id, o_orderkey AS src, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey * 1000 ELSE o_orderkey + 1 END AS dst FROM orders WHERE o_orderkey < 600),
+@query("line_chains", """WITH RECURSIVE l AS (SELECT DISTINCT o_orderkey AS id, o_orderkey AS src, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey * 1000 ELSE o_orderkey + 1 END AS dst FROM orders),
 p AS (SELECT id, src AS p FROM l UNION ALL SELECT id, dst FROM l), t AS (SELECT min(id) AS a, max(id) AS b FROM p GROUP BY p HAVING count(*) = 2), u AS (SELECT a, b FROM t WHERE a <> b UNION SELECT b, a FROM t WHERE a <> b),
 c AS (SELECT id AS node, id AS label FROM l UNION SELECT u.b, label FROM c JOIN u ON u.a = c.node WHERE label < u.b), g AS (SELECT node, min(label) AS chain FROM c GROUP BY node) SELECT chain, count(*) AS n, sum(1.5::DOUBLE) AS km FROM g GROUP BY chain""")
 def line_chains(spark, sf):
-    return line_chains_all(spark, sf, "o_orderkey < 600")
-
-
-@query("line_chains_all")
-def line_chains_all(spark, sf, bound="true"):
-    o = A.table(spark, sf, "orders").where(bound).select("o_orderkey").distinct()
+    o = A.table(spark, sf, "orders").select("o_orderkey").distinct()
     k = F.col("o_orderkey")
     return V.merge_lines(o.select(k.alias("id"), k.alias("src"), F.when(k % 10 == 9, k * 1000).otherwise(k + 1).alias("dst"), F.lit(1.5).alias("km")))
 

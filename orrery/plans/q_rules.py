@@ -311,11 +311,12 @@ def rule_composite(spark, sf):
     return found.select(F.col("I_id").alias("i_id"), F.col("J_id").alias("j_id"), F.round("score", 9).alias("score"))
 
 
-@query("insight_lifecycle", "WITH o AS (SELECT event_id AS id, user_id AS anchor FROM events WHERE event_id % 5 = 0), n AS (SELECT event_id AS id, user_id AS anchor, value FROM events WHERE event_id % 3 = 0 AND user_id % 4 > 0), b AS (SELECT anchor, max({'v': value, 'id': id}).id AS by_id FROM n GROUP BY anchor) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NOT NULL THEN 'kept' WHEN by_id IS NOT NULL THEN 'superseded' ELSE 'stale' END AS change, CASE WHEN o.id IS NOT NULL AND n.id IS NULL THEN by_id END AS by_id FROM o FULL JOIN n ON o.id = n.id LEFT JOIN b ON b.anchor = o.anchor")
+@query("insight_lifecycle", "WITH o AS (SELECT event_id AS id, user_id AS anchor FROM events WHERE event_id % 3 > 0), n AS (SELECT event_id AS id, user_id AS anchor, value FROM events WHERE event_id % 3 <> 1 AND user_id % 4 > 0 OR event_id % 3 = 0), b AS (SELECT anchor, max({'v': value, 'id': id}).id AS by_id FROM n GROUP BY anchor) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NOT NULL THEN 'kept' WHEN by_id IS NOT NULL THEN 'superseded' ELSE 'stale' END AS change, CASE WHEN o.id IS NOT NULL AND n.id IS NULL THEN by_id END AS by_id FROM o FULL JOIN n ON o.id = n.id LEFT JOIN b ON b.anchor = o.anchor")
 def insight_lifecycle(spark, sf):
+    """Two runs, of which each event is in one or in both."""
     e = A.table(spark, sf, "events")
     rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("anchor"), "value")
-    return RU.lifecycle(rows.where("id % 5 = 0"), rows.where("id % 3 = 0 AND anchor % 4 > 0"))
+    return RU.lifecycle(rows.where("id % 3 > 0"), rows.where("id % 3 <> 1 AND anchor % 4 > 0 OR id % 3 = 0"))
 
 
 # ---- graphs ----
@@ -374,25 +375,15 @@ def neighbourhood_topk(spark, sf):
     return G.neighbourhood(A.edges(spark, sf), "customer:1", 2, 5)
 
 
-@query("provenance_closure", "WITH RECURSIVE ev AS (SELECT DISTINCT o_orderkey AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey < 2000), r AS (SELECT DISTINCT a AS root, a AS support, 0 AS depth FROM ev WHERE a % 97 = 5 UNION ALL SELECT root, ev.b, depth + 1 FROM r JOIN ev ON ev.a = r.support WHERE depth < 6) SELECT root, support, min(depth)::INT AS depth FROM r GROUP BY root, support")
+@query("provenance_closure", "WITH RECURSIVE ev AS (SELECT DISTINCT o_orderkey AS a, o_orderkey // 2 AS b FROM orders), r AS (SELECT DISTINCT a AS root, a AS support, 0 AS depth FROM ev UNION ALL SELECT root, ev.b, depth + 1 FROM r JOIN ev ON ev.a = r.support WHERE depth < 64) SELECT root, support, min(depth)::INT AS depth FROM r GROUP BY root, support")
 def provenance_closure(spark, sf):
-    return provenance_closure_all(spark, sf, "o_orderkey < 2000", "supports % 97 = 5", 6)
+    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("supports"), F.floor(F.col("o_orderkey") / 2).alias("support"))
+    return G.closure(o, o.select(F.col("supports").alias("node")), A.WHOLE_DEPTH)
 
 
-@query("provenance_closure_all")
-def provenance_closure_all(spark, sf, bound="true", rooted="true", depth=A.WHOLE_DEPTH):
-    o = A.table(spark, sf, "orders").where(bound).select(F.col("o_orderkey").alias("supports"), F.floor(F.col("o_orderkey") / 2).alias("support"))
-    return G.closure(o, o.where(rooted).select(F.col("supports").alias("node")), depth)
-
-
-@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 3 * 50 AS b FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 > 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, label FROM c JOIN u ON u.a = c.node WHERE label < u.b) SELECT node, min(label) AS label FROM c GROUP BY node")
+@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 3 * 50 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, label FROM c JOIN u ON u.a = c.node WHERE label < u.b) SELECT node, min(label) AS label FROM c GROUP BY node")
 def connected_components(spark, sf):
-    return connected_components_all(spark, sf, "o_orderkey % 40 = 0 AND o_orderkey % 3 > 0")
-
-
-@query("connected_components_all")
-def connected_components_all(spark, sf, bound="true"):
-    o = A.table(spark, sf, "orders").where(bound)
+    o = A.table(spark, sf, "orders")
     return G.components(o.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 50).alias("dst")))
 
 
@@ -431,16 +422,8 @@ def df_prefix(spark, sf):
     return SE.document_frequency(SE.postings(_docs(spark, sf), "p_partkey", list(SE.WEIGHTS)), "p_partkey", ["re", "b", "1"])
 
 
-@query("norm_name", r"SELECT doc_id, trim(regexp_replace(strip_accents(lower(substr(text, 1, 40))), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM documents WHERE lang IN ('fr', 'es', 'de') AND strip_accents(lower(substr(text, 1, 4))) <> 'the '")
+@query("norm_name", r"SELECT doc_id, regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')), '^the (.)', '\1') AS name FROM documents")
 def norm_name_query(spark, sf):
-    from orrery.functions.text import fold
-
-    d = A.table(spark, sf, "documents").where("lang IN ('fr', 'es', 'de')").where(fold(F.substring("text", 1, 4)) != "the ")
-    return d.select("doc_id", norm_name(F.substring("text", 1, 40)).alias("name"))
-
-
-@query("norm_name_all")
-def norm_name_all(spark, sf):
     """Whole texts in all languages, with the rule of the leading 'the'."""
     return A.table(spark, sf, "documents").select("doc_id", norm_name(F.col("text")).alias("name"))
 

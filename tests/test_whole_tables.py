@@ -1,4 +1,4 @@
-"""Queries over whole tables: against the DuckDB twins of the bounded ones without their bounds, and against brute force."""
+"""Queries over whole texts against brute force, beside their DuckDB twins."""
 
 import os
 import re
@@ -7,26 +7,9 @@ import unicodedata
 import duckdb
 import pytest
 
-from orrery.plans.queries import ORACLES, QUERIES
+from orrery.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-DEEP, EV = ("< 6", "< 64"), ("o_orderkey < 900 AND ", "")
-#: query: what its twin cuts, and what stands there for the whole table
-CUTS = {
-    "wide_to_long": [("WHERE l_orderkey < 300", "")],
-    "edge_confidence": [("WHERE l_orderkey < 500", "")],
-    "provenance_closure": [("WHERE o_orderkey < 2000", ""), ("WHERE a % 97 = 5", ""), DEEP],
-    "sources_of_closure": [EV, ("WHERE supports % 50 = 7", ""), DEEP],
-    "provenance_complete": [EV, ("WHERE supports % 50 = 7", ""), DEEP],
-    "line_chains": [("WHERE o_orderkey < 600", "")],
-    "series_assembly": [("WHERE user_id < 20", "")],
-    "connected_components": [("WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 > 0", "")],
-    "news_reports": [("WHERE event_id % 5 = 0", "")],
-    "reality_perception_pairs": [("WHERE p_partkey % 10 < 3", "")],
-    "zone_rules": [("AND event_id % 7 = 1", "")],
-    "tenure_state": [("WHERE c_custkey % 9 = c_nationkey % 9", "")],
-    "support_reference": [("WHERE n % 10 = 0", ""), ("WHERE n % 10 = 1", "")],
-}
 
 
 @pytest.fixture(scope="module")
@@ -42,24 +25,6 @@ def ordered(rows):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", CUTS)
-def test_whole_table(spark, duck, name):
-    sql = ORACLES[name]
-    for cut, whole in CUTS[name]:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    df = QUERIES[f"{name}_all"](spark, SF)
-    mine = ordered(tuple(r) for r in df.collect())
-    assert mine == ordered(duck.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall())
-    assert f"{name}_all" not in ORACLES
-
-
-def test_evidence_of_every_record(spark, duck):
-    keys = [k for (k,) in duck.sql("SELECT o_orderkey FROM orders WHERE o_orderkey > 2").fetchall()]
-    want = [(k // 3, "supports", k) for k in keys] + [(k, "rests_on", k // 3) for k in keys]
-    assert ordered(tuple(r) for r in QUERIES["evidence_in_and_out_all"](spark, SF).collect()) == ordered(want)
-
-
 def test_norm_name_of_whole_texts(spark, duck):
     def brute(text):
         if text is None:
@@ -68,7 +33,7 @@ def test_norm_name_of_whole_texts(spark, duck):
         return re.sub("^the (?=.)", "", re.sub(r"[\W_]+", " ", plain).strip(" "))
 
     docs = duck.sql("SELECT doc_id, text FROM documents").fetchall()
-    got = ordered(tuple(r) for r in QUERIES["norm_name_all"](spark, SF).collect())
+    got = ordered(tuple(r) for r in QUERIES["norm_name"](spark, SF).collect())
     assert got == ordered((d, brute(t)) for d, t in docs)
     assert sum((t or "").lower().startswith("the ") for _, t in docs) > 0
 
@@ -76,5 +41,5 @@ def test_norm_name_of_whole_texts(spark, duck):
 def test_norm_name_drops_the_leading_the(spark, tmp_path):
     texts = ["The  Élan of\n" + "très long " * 30, "the", "THE-end", "then"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = dict(tuple(r) for r in QUERIES["norm_name_all"](spark, str(tmp_path)).collect())
+    got = dict(tuple(r) for r in QUERIES["norm_name"](spark, str(tmp_path)).collect())
     assert got == {0: "elan of " + " ".join(["tres long"] * 30), 1: "the", 2: "end", 3: "then"}
