@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import confidence
 from orrery.functions.timefn import parse_duration
+from orrery.operators.explain import truncated
 from orrery.operators.graph import components
 from orrery.operators.scope import where_triples
 from orrery.operators.spatial import distance_join, step_radius
@@ -48,6 +49,7 @@ class Rule:
     threshold: float = 0.3
     unique: bool = False
     max_results: int = 50
+    max_candidates: int | None = None  # none named: no bound
     explain: str = ""
     group: dict | None = None
     collect: dict | None = None
@@ -61,7 +63,7 @@ def load(text: str) -> Rule:
     r = data.get("rule") or {}
     variables = r.pop("var", [])
     constraints = r.pop("constraint", [])
-    rule = Rule(r.get("id", ""), str(r.get("version", "1")), r.get("output", ""), r.get("anchor", ""), variables, constraints, float(r.get("strength", 0.8)), float(r.get("emit_threshold", 0.3)), bool(r.get("unique", False)), int(r.get("max_results", 50)), r.get("explain", ""), r.get("group"), r.get("collect"), r.get("hypothesis"))
+    rule = Rule(r.get("id", ""), str(r.get("version", "1")), r.get("output", ""), r.get("anchor", ""), variables, constraints, float(r.get("strength", 0.8)), float(r.get("emit_threshold", 0.3)), bool(r.get("unique", False)), int(r.get("max_results", 50)), int(r["max_candidates"]) if "max_candidates" in r else None, r.get("explain", ""), r.get("group"), r.get("collect"), r.get("hypothesis"))
     rule.var = {v["name"]: v for v in variables}
     if not rule.id:
         raise RuleError("a rule needs an id")
@@ -226,8 +228,13 @@ class Compiler:
         The joins begin at a variable, the anchor if none is named; only: ids (column id)
         to which that variable is held, for an incremental run, whose cost then
         follows those ids and not the world.
+
+        A rule with max_candidates keeps, of the candidates that a variable has for one
+        binding, the first by id, and ten times as many results of an anchor; only where
+        the joins begin at the anchor, so that no change goes unseen.
         """
         rule, start = self.rule, start or self.rule.anchor
+        bounded = rule.max_candidates is not None and start == rule.anchor
         df = self.scan(start)
         if only is not None:
             df = df.join(only.select(F.col("id").alias("_i")), F.col(f"{start}_id") == F.col("_i"), "left_semi")
@@ -261,10 +268,15 @@ class Compiler:
                 raise RuleError(f"{rule.id}: {left[0]!r} has no constraint that finds it")
             _, _, name, c = min(required, key=lambda x: x[:2])
             df = self._join(df, c, name, bool(rule.var[name].get("optional")))
+            if bounded:
+                df = truncated(df, [f"{v}_id" for v in bound], f"{name}_id", rule.max_candidates)
             bound.append(name)
             left.remove(name)
             df = test_all(df)
         df = test_all(df)
+        if bounded and len(bound) > 1:
+            order = [F.col(f"{v}_id").asc_nulls_first() for v in bound[1:]]
+            df = df.withColumn("_r", F.row_number().over(Window.partitionBy(f"{start}_id").orderBy(*order))).where(F.col("_r") <= 10 * rule.max_candidates).drop("_r")
         confs = [F.col(f"{v}_confidence") for v in bound] + [F.col(f"`{c}`") for c in df.columns if c.startswith("rel:")]
         least = F.round(F.array_min(F.array(*confs)), 12)
         score = F.lit(rule.strength) * F.coalesce(least, F.lit(0.0))

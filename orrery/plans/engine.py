@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators import cube, graph, relational, views
+from orrery.operators import cube, graph, insights, relational, views
 from orrery.operators.scope import Budget, Scope, page_after
 from orrery.operators.spatial import distance_join
 
 
 class Engine:
-    """Operations over tables object, event, participation, relation and edge."""
+    """Operations over tables object, event, participation, relation and edge; evidence, insight and member where there are any."""
 
     def __init__(self, world: dict[str, DataFrame]):
         self.world = world
@@ -92,17 +92,48 @@ class Engine:
     def op_locate(self, scope, budget, id=None):
         return views.locate(id, self.world["object"], self.world["event"], self.world["edge"])
 
+    def op_timeline_of(self, scope, budget, id=None):
+        """Events that concern an entity, the first of them, and an event's own."""
+        mine = self.world["participation"].where((F.col("object_id") == id) | (F.col("event_id") == id)).select("event_id").distinct()
+        rows = self.world["event"].join(mine, "event_id", "left_semi").where("t_ms IS NOT NULL")
+        return rows.select("event_id", "type", "t_ms").orderBy("t_ms", "event_id").limit(budget.max_items)
+
+    def op_evidence(self, scope, budget, id=None):
+        """What an entity rests on directly."""
+        rows = self._optional("evidence", "supports string, support string").where(F.col("supports") == id)
+        return rows.select("support").distinct().orderBy("support").limit(budget.max_items)
+
+    def op_sources(self, scope, budget, id=None):
+        """Sources of an entity and of all that it rests on."""
+        root = self.world["object"].sparkSession.createDataFrame([(id,)], "node string")
+        named = [self.world[k].select(F.col(f"{k}_id").alias("id"), "source") for k in ("object", "event")]
+        found = views.sources_of(self._optional("evidence", "supports string, support string"), named[0].unionByName(named[1]), root)
+        return found.select("source").distinct().orderBy("source").limit(budget.max_items)
+
+    def op_insights(self, scope, budget, id=None):
+        """Insights that hold an entity, the best supported first."""
+        rows = self._optional("insight", "insight_id string, rule_id string, confidence double")
+        return insights.listed(rows, self._optional("member", "insight_id string, entity_id string"), budget.max_items, member=id)
+
+    def _optional(self, name: str, schema: str) -> DataFrame:
+        """A table that a world may lack."""
+        return self.world[name] if name in self.world else self.world["object"].sparkSession.createDataFrame([], schema)
+
     def op_context(self, scope, budget, focus=None):
-        """section, ref, detail: what surrounds one entity, each section within min(max_items, 25)."""
+        """section, ref, detail: nine sections of what surrounds one entity, each within min(max_items, 25)."""
         n = min(budget.max_items, 25)
         small = Budget(max_items=n)
         row = lambda df, section, ref, detail: df.select(F.lit(section).alias("section"), F.col(ref).cast("string").alias("ref"), F.col(detail).cast("string").alias("detail"))
         parts = [
             row(self.op_entity(scope, small, focus), "focus", "object_id", "label"),
+            row(self.op_sources(scope, small, focus), "sources", "source", "source"),
+            row(self.op_evidence(scope, small, focus), "evidence", "support", "support"),
             row(self.op_relations(scope, small, focus).where(F.col("rank") <= n), "relations", "other", "type"),
             row(self.op_related_objects(scope, small, focus), "related_objects", "id", "reason"),
             row(self.op_related_events(scope, small, focus), "related_events", "event_id", "type"),
+            row(self.op_timeline_of(scope, small, focus), "timeline", "event_id", "t_ms"),
             row(self.op_nearby(scope, Budget(max_items=min(n, 10)), focus, 100.0), "geography", "b_id", "km"),
+            row(self.op_insights(scope, small, focus), "insights", "insight_id", "confidence"),
         ]
         out = parts[0]
         for p in parts[1:]:

@@ -198,7 +198,23 @@ def registry_admissible(spark, sf):
 @query("engine_context", f"WITH {W('relation', 'participation')} SELECT section, count(*) AS n FROM (SELECT 'focus' AS section UNION ALL SELECT 'relations' FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY o) AS r FROM (SELECT 'in' AS dir, from_id AS o FROM relation WHERE to_id = 'nation:3' UNION ALL SELECT 'out', to_id FROM relation WHERE from_id = 'nation:3')) WHERE r <= 5 UNION ALL SELECT 'related_objects' FROM (SELECT from_id AS o FROM relation WHERE to_id = 'nation:3' UNION SELECT to_id FROM relation WHERE from_id = 'nation:3' LIMIT 5) UNION ALL SELECT 'related_events' FROM (SELECT DISTINCT event_id FROM participation WHERE role = 'subject' AND object_id IN (SELECT from_id FROM relation WHERE to_id = 'nation:3' UNION SELECT to_id FROM relation WHERE from_id = 'nation:3') LIMIT 5)) GROUP BY section")
 def engine_context(spark, sf):
     c = engine(spark, sf).query("context", budget={"max_items": 5}, focus="nation:3")
-    return c.where("section <> 'geography'").groupBy("section").agg(F.count("*").alias("n"))
+    return c.where("section IN ('focus', 'relations', 'related_objects', 'related_events')").groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query("engine_context_sections", f"""WITH {W('object', 'event', 'participation')}, c AS (SELECT * FROM object WHERE object_id = 'customer:1'), e AS (SELECT * FROM event WHERE subject = 'customer:1'),
+b AS (SELECT object_id, round({A.km_sql('c.lon', 'c.lat', 'o.lon', 'o.lat')}, 6) AS km FROM object o, (SELECT lon, lat FROM c) c WHERE o.object_id <> 'customer:1' AND o.status <> 'retracted')
+SELECT 'focus' AS section, object_id AS ref FROM c UNION ALL SELECT 'sources', source FROM (SELECT source FROM c UNION SELECT source FROM e ORDER BY 1 LIMIT 5)
+UNION ALL SELECT 'evidence', event_id FROM (SELECT event_id FROM participation WHERE object_id = 'customer:1' ORDER BY 1 LIMIT 5)
+UNION ALL SELECT 'timeline', event_id FROM (SELECT event_id FROM e ORDER BY t_ms, event_id LIMIT 5)
+UNION ALL SELECT 'geography', object_id FROM (SELECT object_id FROM b WHERE km <= 100 ORDER BY km, object_id LIMIT 5)
+UNION ALL SELECT 'insights', i FROM (SELECT 'about ' || event_id AS i, confidence FROM e ORDER BY confidence DESC, i LIMIT 5)""")
+def engine_context_sections(spark, sf):
+    """The sections whose rows are few enough to be told one by one; engine_context counts the others."""
+    e = A.events(spark, sf)
+    about = F.concat(F.lit("about "), F.col("event_id")).alias("insight_id")
+    more = {"evidence": A.participations(spark, sf).select(F.col("object_id").alias("supports"), F.col("event_id").alias("support")), "insight": e.select(about, F.lit("about").alias("rule_id"), "confidence"), "member": e.select(about, F.col("subject").alias("entity_id"))}
+    c = Engine(engine(spark, sf).world | more).query("context", budget={"max_items": 5}, focus="customer:1")
+    return c.where("section NOT IN ('relations', 'related_objects', 'related_events')").select("section", "ref")
 
 
 @query("engine_map", f"WITH {W('object', 'event')} SELECT 200 >= count(*) AS fits, sum(n)::BIGINT AS n FROM (SELECT cx >> 4 AS x, cy >> 4 AS y, count(*) AS n FROM (SELECT cx, cy FROM object WHERE cx IS NOT NULL UNION ALL SELECT cx, cy FROM event) GROUP BY ALL)")

@@ -70,16 +70,37 @@ def stream_interval_join(spark, sf):
 def stream_upsert_latest(spark, sf):
     path = shared_dir(spark)
     s = _stream(spark, sf).select("user_id", "event_id", "value")
-    last = {}
-    write = ST.upsert(path, ["user_id"], "event_id")
+    q = s.writeStream.foreachBatch(ST.upsert(path, ["user_id"], "event_id")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return ST.upserted(spark, path, s.schema)
+
+
+@query("stream_insight_retraction", "SELECT user_id::VARCHAR AS anchor, max({'v': value, 'id': event_id}).id::VARCHAR AS id FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def stream_insight_retraction(spark, sf):
+    """An insight of each user: the greatest event so far; those that greater ones took the place of are retired."""
+    path = shared_dir(spark)
+    s = _stream(spark, sf).where("value IS NOT NULL").select(F.col("user_id").cast("string").alias("anchor"), F.col("event_id").cast("string").alias("id"), "value", "event_id")
+    seen = ST.upsert(f"{path}/seen", ["anchor", "id"], "event_id", by=["anchor"])
 
     def each(batch, number):
-        write(batch, number)
-        last["n"] = number
+        seen(batch, number)
 
-    q = s.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(s.schema).parquet(f"{path}/v{last['n']}")
+        def solve(anchors):
+            rows = ST.upserted(spark, f"{path}/seen", s.schema, below=number + 1).join(anchors, "anchor", "left_semi")
+            return rows.groupBy("anchor").agg(F.max(F.struct("value", "event_id", "id")).alias("m")).select("m.id", "anchor", "m.value")
+
+        ST.retracting(f"{path}/insights", solve)(batch, number)
+
+    s.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return ST.upserted(spark, f"{path}/insights", ST.INSIGHTS).where("status = 'active'").select("anchor", "id")
+
+
+@query("stream_late_resolution", "SELECT event_id AS a_id, user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+def stream_late_resolution(spark, sf):
+    """Purchases wait for the first signup of their user, which may come in a later file."""
+    a = _stream(spark, sf).where("event_type = 'purchase'").select(F.col("event_id").alias("a_id"), "user_id")
+    b = _stream(spark, sf).where("event_type = 'signup'").select("user_id")
+    return _ended(spark, ST.resolved_late(a, b, "user_id"), "append").select("a_id", "user_id")
 
 
 @query("sink_shard_manifest", "SELECT shard, count(*) AS n, sum(strlen(c_mktsegment))::BIGINT AS bytes FROM (SELECT *, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(strlen(c_name)), lambda i: ascii(substr(c_name, (i + 1)::INT, 1))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295) % 16)::INT AS shard FROM customer) GROUP BY shard")

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orrery.operators.rules import lifecycle
+from orrery.sources.shared import _path, materialise, release
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -64,29 +67,93 @@ def latest_versions(records: DataFrame) -> DataFrame:
     return records.groupBy("key").applyInPandasWithState(keep, "key string, version long, value string", "version long, value string", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def _heads(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The version that each bucket of an upserted table had before a batch, or has by now."""
+    pattern, files = _path(spark, f"{path}/head/v*/_SUCCESS")
+    done = [int(f.getPath().getParent().getName()[1:]) for f in files.globStatus(pattern) or ()]
+    done = [n for n in done if below is None or n < below]
+    if not done:
+        return {}
+    rows = spark.read.schema("bucket int, version long").parquet(f"{path}/head/v{max(done)}").collect()  # a row for each bucket
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def upserted(spark: SparkSession, path: str, schema, below: int | None = None, heads: dict[int, int] | None = None) -> DataFrame:
+    """The rows that upsert() keeps under a path: by now, or as they were before a batch."""
+    heads = _heads(spark, path, below) if heads is None else heads
+    if not heads:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/v{v}/_bucket={b}" for b, v in sorted(heads.items())])
+
+
+def upsert(path: str, key: list[str], order: str, by: list[str] | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that keeps the row of each key that is greatest in order.
 
-    The table is written anew under the batch's number, so that a batch that runs
-    again gives the same table.
+    Rows lie in buckets by the hash of the key, or of columns of it (by). A batch
+    writes the buckets that it touches under its number, and a head that names
+    each bucket's version, so that its cost follows its own keys, and a batch that
+    runs again gives the same table. A bucket that a head names and that is gone
+    is an error.
     """
     from pyspark.sql import Window
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            try:
-                rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-            except Exception as missing:  # the first batches may have been empty
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
-        w = Window.partitionBy(*key).orderBy(F.desc(order))
-        rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark, schema = batch.sparkSession, batch.schema
+        heads = _heads(spark, path, number)
+        rows = batch.withColumn("_bucket", F.pmod(F.hash(*(by or key)), F.lit(buckets))).persist()
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most one row for each bucket
+        if touched:
+            old = {b: heads[b] for b in touched if b in heads}
+            whole = rows
+            if old:
+                before = upserted(spark, path, schema, heads=old)
+                whole = rows.unionByName(before.withColumn("_bucket", F.pmod(F.hash(*(by or key)), F.lit(buckets))))
+            w = Window.partitionBy("_bucket", *key).orderBy(F.desc(order))
+            best = whole.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+            best.write.partitionBy("_bucket").mode("overwrite").parquet(f"{path}/data/v{number}")
+            heads |= dict.fromkeys(touched, number)
+            spark.createDataFrame(list(heads.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/head/v{number}")
+        rows.unpersist()
 
     return write
 
 
+#: Rows of a table of insights with their state; changed_in is the batch of the last change.
+INSIGHTS = "id string, anchor string, value double, status string, by_id string, changed_in long"
+
+
+def retracting(path: str, solve: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of insights that retires those that a change took the ground from.
+
+    A batch names anchors that changed; solve(anchors) gives their insights (id,
+    anchor, value) as of now. What is new becomes active; an active insight that
+    is not found again becomes superseded, by the best new one of its anchor, or
+    stale. Only the anchors of the batch are computed, and only their buckets written.
+    """
+    keep = upsert(path, ["anchor", "id"], "changed_in", by=["anchor"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        anchors = batch.select("anchor").where("anchor IS NOT NULL").distinct()
+        was = upserted(batch.sparkSession, path, INSIGHTS, below=number).where("status = 'active'").join(anchors, "anchor", "left_semi")
+        now = materialise(solve(anchors).select("id", "anchor", "value"))
+        changes = lifecycle(was.select("id", "anchor", "value"), now).where("change <> 'kept'")
+        rows = now.unionByName(was.select("id", "anchor", "value").join(now, "id", "left_anti"))
+        status = F.when(F.col("change") == "new", "active").otherwise(F.col("change"))
+        keep(rows.join(changes, "id").select("id", "anchor", "value", status.alias("status"), "by_id", F.lit(number).cast("long").alias("changed_in")), number)
+        release(now)
+
+    return write
+
+
+def resolved_late(assertions: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """Assertions with the target of their key, as soon as both are there, whichever comes first.
+
+    Those without a target wait in the state store, row by row, which a key with
+    many assertions does not strain; a target counts once.
+    """
+    return assertions.join(targets.dropDuplicates([key]), key)
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """All that a stream gives for the data there is, as a table in memory: for tests and small feeds."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
