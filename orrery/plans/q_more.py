@@ -64,7 +64,7 @@ def highlight_states(spark, sf):
     return V.highlighted_cells(o, chosen, 4)
 
 
-@query("locate_entity", "SELECT * FROM (VALUES ('map', true), ('timeline', false), ('graph', true), ('search', true)) t(view, found)")
+@query("locate_entity", f"WITH {W('object', 'event', 'edge')} SELECT 'map' AS view, count(*) > 0 AS found FROM (SELECT lon FROM object WHERE object_id = 'nation:2' UNION ALL SELECT lon FROM event WHERE event_id = 'nation:2') WHERE lon IS NOT NULL UNION ALL SELECT 'timeline', count(*) > 0 FROM event WHERE event_id = 'nation:2' AND t_ms IS NOT NULL UNION ALL SELECT 'graph', count(*) > 0 FROM edge WHERE src = 'nation:2' OR dst = 'nation:2' UNION ALL SELECT 'search', count(*) > 0 FROM object WHERE object_id = 'nation:2' AND label IS NOT NULL")
 def locate_entity(spark, sf):
     return engine(spark, sf).query("locate", id="nation:2")
 
@@ -144,10 +144,9 @@ def candidates_truncated(spark, sf):
     return EX.truncated(A.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 4)
 
 
-@query("licence_verdicts", "SELECT l, CASE WHEN l IN ('CC0 1.0', 'Public Domain') THEN 'open' WHEN l = 'CC BY-NC 4.0' THEN 'restricted' WHEN l = 'CC BY 4.0' THEN 'attribution' ELSE 'unknown' END AS verdict FROM (VALUES ('CC0 1.0'), ('Public Domain'), ('CC BY-NC 4.0'), ('CC BY 4.0'), ('ask us')) t(l)")
+@query("licence_verdicts", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)public domain|cc0') THEN 'open' WHEN regexp_matches(text, '(?i)by-nc|non.?commercial') THEN 'restricted' WHEN regexp_matches(text, '(?i)cc.?by|attribution|open data') THEN 'attribution' WHEN regexp_matches(text, '(?i)all rights reserved|proprietary') THEN 'closed' ELSE 'unknown' END AS verdict FROM documents")
 def licence_verdicts(spark, sf):
-    rows = spark.createDataFrame([("CC0 1.0",), ("Public Domain",), ("CC BY-NC 4.0",), ("CC BY 4.0",), ("ask us",)], "l string")
-    return rows.select("l", EX.licence_verdict(F.col("l")).alias("verdict"))
+    return A.table(spark, sf, "documents").select("doc_id", EX.licence_verdict(F.col("text")).alias("verdict"))
 
 
 VOCABULARY = """

@@ -125,10 +125,15 @@ def source_unprocessed(spark, sf):
     return store.unprocessed(e, e.where("raw_id % 4 = 0")).select("raw_id")
 
 
-@query("source_html_cells", r"SELECT page_id, len(regexp_extract_all(html, '<li[^>]*>'))::BIGINT AS items FROM pages")
+@query("source_html_cells", r"""WITH r AS (SELECT page_id, unnest(l) AS t, unnest(range(len(l)))::INT AS row FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '<(/?)(ul|div)', '<\1tr', 'g'), '<(/?)(li|p)\b', '<\1td', 'g'), '(?is)<tr[^>]*>(.*?)</tr>', 1) AS l FROM pages)),
+c AS (SELECT page_id, row, unnest(l) AS t, unnest(range(len(l)))::INT AS cell FROM (SELECT page_id, row, regexp_extract_all(t, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1) AS l FROM r))
+SELECT page_id, row, cell, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM c""")
 def source_html_cells(spark, sf):
-    p = A.table(spark, sf, "pages")
-    return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<li[^>]*>"), F.lit(0))).cast("long").alias("items"))
+    from orrery.sources.readers import html_cells
+
+    # The pages at hand hold no tables, so their lists and blocks stand for rows, and items and paragraphs for cells.
+    html = F.regexp_replace(F.regexp_replace("html", "<(/?)(ul|div)", "<$1tr"), r"<(/?)(li|p)\b", "<$1td")
+    return html_cells(A.table(spark, sf, "pages").select("page_id", html.alias("html")), "html").select("page_id", "row", "cell", "text")
 
 
 @query("sink_logical_hash")

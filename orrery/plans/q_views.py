@@ -193,13 +193,11 @@ def live_count(spark, sf):
     return C.live_count(A.events(spark, sf), S.Scope.of({"min_confidence": 0.6, "time_window": [T0, T1]}), "event")
 
 
-@query("live_count_equals_cube", "SELECT 0::BIGINT AS wrong_types")
+@query("live_count_equals_cube", f"WITH {A.world_sql('object', 'event')}, w AS (SELECT type, confidence FROM object UNION ALL SELECT type, confidence FROM event) SELECT type, count(*) AS in_cube, count(*) AS live FROM w WHERE confidence >= 0.5::DOUBLE GROUP BY type")
 def live_count_equals_cube(spark, sf):
-    cube = _cube(spark, sf).where("level = -1 AND period = 0 AND band >= 1").groupBy("type").agg(F.sum("n").alias("c"))
-    rows = _world_rows(spark, sf)
-    live = rows.where(confidence.band(F.col("confidence")) >= 1).groupBy("type").agg(F.count("*").alias("l"))
-    both = cube.join(live, "type", "full_outer")
-    return both.agg(F.count(F.when(~F.col("c").eqNullSafe(F.col("l")), 1)).alias("wrong_types"))
+    cube = _cube(spark, sf).where("level = -1 AND period = 0 AND band >= 1").groupBy("type").agg(F.sum("n").alias("in_cube"))
+    live = _world_rows(spark, sf).where(confidence.band(F.col("confidence")) >= 1).groupBy("type").agg(F.count("*").alias("live"))
+    return cube.join(live, "type", "full_outer")
 
 
 @query("entities_per_source", f"WITH {CUBE_SQL} SELECT source, kind, sum(n)::BIGINT AS n, max(maxconf) AS best FROM cube WHERE level = -1 AND period = 0 GROUP BY ALL")

@@ -6,13 +6,16 @@ those of the feeds' own formats.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.geo import path_km
 from orrery.operators.analytics import families, grid_dedupe, orbits
 from orrery.operators.temporal import latest
 from orrery.sources import readers
 
+_LINE = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
 KNOT = 0.514444  # metres a second
 
 
@@ -148,3 +151,36 @@ def news_events(exports: DataFrame, mentions: DataFrame, n_links: int = 8) -> Da
 
 
 FEEDS = {"earthquakes": earthquakes, "airports": airports, "power_plants": power_plants, "ports": ports, "violence": violence, "hotspots": hotspots, "satellites": satellites, "kev": kev, "argo": argo, "buoys_csv": buoys_csv, "tide_levels": tide_levels}
+
+
+def sea_routes(lines: DataFrame) -> DataFrame:
+    """Routes from rows (route, wkb): each line of a geometry as an entity of its own, with its points and length.
+
+    A geometry that is null gives no rows.
+    """
+
+    @F.arrow_udf("array<array<struct<lon:double,lat:double>>>")
+    def read(blobs: pa.Array) -> pa.Array:
+        lines = [None if b is None else [[{"lon": x, "lat": y} for x, y in line] for line in readers.wkb_lines(b)] for b in blobs.to_pylist()]
+        return pa.array(lines, pa.list_(_LINE))
+
+    rows = lines.select("route", F.posexplode(read("wkb")).alias("part", "points")).where(F.size("points") >= 2)
+    ident = F.concat_ws(":", F.lit("searoute"), F.col("route").cast("string"), F.col("part").cast("string"))
+    first = F.get("points", F.lit(0))
+    return _record(rows, "sea.route", ident, ident, first["lon"], first["lat"], points=F.col("points"), km=F.round(path_km(F.col("points")), 3))
+
+
+def mapped_ways(spark: SparkSession, path: str, entity_type: str, tolerance: float = 0.01) -> DataFrame:
+    """Ways of an Overpass answer (cables, naval bases) with lines simplified to a tolerance in degrees; nodes are points."""
+    place = "struct<lat:double,lon:double>"
+    raw = spark.read.schema(f"elements array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,geometry:array<{place}>>>").json(path, multiLine=True)
+
+    @F.arrow_udf("array<struct<lon:double,lat:double>>")
+    def slim(lines: pa.Array) -> pa.Array:
+        thin = [None if g is None else [{"lon": x, "lat": y} for x, y in readers.simplify([(p["lon"], p["lat"]) for p in g if p is not None], tolerance)] for g in lines.to_pylist()]
+        return pa.array(thin, _LINE)
+
+    e = raw.select(F.explode("elements").alias("e")).select("e.*").withColumn("points", slim("geometry"))
+    first = F.get("points", F.lit(0))
+    label = F.coalesce(F.try_element_at("tags", F.lit("name")), F.concat_ws(" ", "type", F.col("id").cast("string")))
+    return _record(e.where("lat IS NOT NULL OR size(points) > 0"), entity_type, F.concat_ws(":", "type", F.col("id").cast("string")), label, F.coalesce("lon", first["lon"]), F.coalesce("lat", first["lat"]), points=F.col("points"), tags=F.col("tags"))
