@@ -64,11 +64,12 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def search(index: Index, text: str, n: int) -> DataFrame:
+def search(index: Index, text: str, n: int, rank_all: bool = False) -> DataFrame:
     """key, score of the documents that hold every word of the text as the beginning of a term, best first.
 
     The postings are read once, for the prefixes alone. Words that more than FREQUENT
-    documents hold only filter; where all are such, all documents score 0.
+    documents hold only filter; where all are such, all documents score 0. With rank_all
+    every word counts in the score, however many documents hold it.
     """
     key, prefixes = index.key, list(dict.fromkeys(t.lower() for t in re.findall("[0-9A-Za-zÀ-ÿ]+", text)[:8]))
     if not prefixes:
@@ -82,13 +83,12 @@ def search(index: Index, text: str, n: int) -> DataFrame:
     sums = [F.sum(F.when(b, F.col("tf") * weight)).alias(f"tf{i}") for i, b in enumerate(begins)]
     hits = materialise(rows.groupBy(key).agg(*sums))
     found = hits.agg(*[F.count(f"tf{i}") for i in range(len(prefixes))]).first()
-    ranked, _ = plan_prefixes(dict(zip(prefixes, found, strict=True)))
     every = hits.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}").isNotNull() for i in range(len(prefixes))])).join(index.lengths, key)
     gain = F.lit(0.0)
-    for i, p in enumerate(prefixes):
-        if p in ranked and found[i] <= FREQUENT:
+    for i, n_found in enumerate(found):
+        if rank_all or n_found <= FREQUENT:
             tf = F.col(f"tf{i}")
-            gain = gain + idf(F.lit(float(index.n_docs)), F.lit(float(found[i]))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(index.mean)))
+            gain = gain + idf(F.lit(float(index.n_docs)), F.lit(float(n_found))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(index.mean)))
     return every.select(key, F.round(gain, 4).alias("score")).orderBy(F.desc("score"), key).limit(n)
 
 

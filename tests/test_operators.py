@@ -111,6 +111,28 @@ def test_frequent_words_only_filter(spark, monkeypatch):
     assert len(every) == 40 and {r["score"] for r in every} == {0.0}
 
 
+def test_frequent_words_rank_where_all_shall(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "common " * (1 + i % 3) + ("rare" if i % 9 == 0 else ""), "", "", "") for i in range(40)], "id int, label string, aliases string, identifiers string, text string")
+    index = search.Index.of(docs, "id", list(search.WEIGHTS))
+    want = [tuple(r) for r in search.search(index, "common rare", 50, rank_all=True).collect()]
+    monkeypatch.setattr(search, "FREQUENT", 3)
+    assert [tuple(r) for r in search.search(index, "common rare", 50, rank_all=True).collect()] == want
+    assert want != [tuple(r) for r in search.search(index, "common rare", 50).collect()]
+
+
+def test_search_query_is_its_twin_beyond_the_frequent(spark, monkeypatch):
+    """The words of the query are more frequent than the limit, as they are in large tables."""
+    import duckdb
+
+    from orrery.plans.queries import ORACLES, QUERIES
+
+    sf, duck = "/root/testdata/sf0.01", duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{sf}/part.parquet')")
+    monkeypatch.setattr(search, "FREQUENT", 20)
+    got = [tuple(r) for r in QUERIES["search_prefix_bm25"](spark, sf).collect()]
+    assert got == [tuple(r) for r in duck.sql(ORACLES["search_prefix_bm25"]).fetchall()] and len(got) == 30
+
+
 def test_a_value_of_many_entities_makes_no_pairs(spark):
     """20,000 mentions and 20,000 entities of one value: the pairs of them would be 400 million rows."""
     from orrery.operators import relational
