@@ -31,6 +31,23 @@ def test_distance_join_is_brute_force(spark, radius):
     assert got == {(x[0], y[0]) for x, y in itertools.product(*pts) if km(x[1:], y[1:]) <= radius}
 
 
+@pytest.mark.parametrize("radius", [120, 2000, 21000])
+def test_nearest_is_brute_force(spark, radius):
+    """Near the poles, where many places meet, and with ties that the id decides; no pairs are made to count them."""
+    rng = random.Random(radius)
+    pts = [[(i, rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(60, 90)) for i in range(120)] for _ in range(2)]
+    pts[1] += [(900 + i, *p[1:]) for i, p in enumerate(pts[1][:20])]
+    a, b = (spark.createDataFrame([*p, (-1, None, None)], f"{s}_id int, {s}_lon double, {s}_lat double") for p, s in zip(pts, "ab", strict=True))
+    near = spatial.nearest(a, b, radius, "a_id", "b_id", 3)
+    assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a_id"], r["rank"]): (r["b_id"], r["total"]) for r in near.collect()}
+    want = {}
+    for x in pts[0]:
+        first = sorted((d, y[0]) for y in pts[1] if (d := km(x[1:], y[1:])) <= radius)
+        want |= {(x[0], i + 1): (y, len(first)) for i, (_, y) in enumerate(first[:3])}
+    assert got == want
+
+
 def test_steps_have_cells_of_their_own(spark):
     rng = random.Random(7)
     a, b = ([(i, rng.uniform(-180, 180), rng.uniform(-90, 90), rng.random()) for i in range(200)] for _ in range(2))
