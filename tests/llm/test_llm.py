@@ -418,6 +418,49 @@ def test_common_posts_go_another_way_to_the_same_links(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute_components(texts)
 
 
+def test_parities_tell_unlike_sets_and_no_linked_ones():
+    rng = np.random.default_rng(5)
+    told = 0
+    for _ in range(3000):
+        n, m = int(rng.integers(1, 900)), int(rng.integers(1, 900))
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        common = int(rng.integers(0, min(n, m) + 1)) if rng.random() < 0.5 else min(n, m)
+        a, b = pool[:n], pool[max(0, n - common) : max(0, n - common) + m]
+        both = len(np.intersect1d(a, b))
+        may = jaccard.may_be_linked(len(a), jaccard.parities(a), len(b), jaccard.parities(b))
+        assert may or not jaccard.linked(len(a), len(b), both)
+        if len(a) + len(b) > 200 and both * 3 < len(a) + len(b) - both:  # a similarity under one third
+            told += not may
+            assert not may
+    assert told > 500
+
+
+def test_posts_are_counted_in_rounds_that_leave_no_shuffle(spark, monkeypatch):
+    import time
+
+    from orrery.sources import shared
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    texts = {i: " ".join(f"w{(i // 2) * 1000 + k}" for k in range(60)) for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scanned = jaccard._scanned(jaccard._texts(df, "doc_id", "text"), 0, frozenset())
+    known, swept = lambda: manager.shuffleStatuses().size(), []
+    sweep = shared.drop_shuffles
+
+    def counted(rows):
+        before = known()
+        sweep(rows)
+        for _ in range(50):
+            if known() < before:
+                break
+            time.sleep(0.1)
+        swept.append(before - known())
+
+    monkeypatch.setattr(jaccard, "drop_shuffles", counted)
+    jaccard._posted(scanned)
+    assert len(swept) == jaccard.ROUNDS and min(swept) > 0
+
+
 def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
     texts = near_texts(6, 40, [1, 2], [12, 30])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
