@@ -462,6 +462,47 @@ def test_posts_are_counted_in_rounds_that_leave_no_shuffle(spark, monkeypatch):
     assert len(swept) == jaccard.ROUNDS and sum(swept) > 0  # a file may go a round later
 
 
+def test_what_was_read_and_shuffled_goes_round_by_round(spark, monkeypatch):
+    import os
+
+    texts = {i: " ".join(f"w{(i // 2) * 1000 + k}" for k in range(60)) + f" x{i}" for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scanned = jaccard._scanned(jaccard._texts(df, "doc_id", "text"), 0, frozenset())
+    folder, left = scanned.written_to.removeprefix("file:").replace("//", "/"), []
+    parts = lambda: {x for x in os.listdir(folder) if x.startswith("round=")}
+    assert parts() == {f"round={k}" for k in range(-1, jaccard.ROUNDS)}  # documents and rounds
+    monkeypatch.setattr(jaccard, "drop_shuffles", lambda rows: left.append(len(parts())))
+    kept = jaccard._posted(scanned)
+    assert left == list(range(jaccard.ROUNDS, 0, -1)) and not os.path.exists(folder)
+    assert sum(k.count() for k in kept) > 0
+
+
+def test_shuffle_files_go_with_the_table_written(spark):
+    import glob
+    import os
+    import time
+
+    from orrery.sources import shared
+
+    files = lambda: set(glob.glob(f"{local}/**/shuffle_*.data", recursive=True))
+    local = os.path.dirname(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getAbsolutePath())
+    before, key = files(), shared.FILES_GO
+    was = spark.conf.get(key)
+    out = shared.materialise(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s")).repartition(3, "s"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 5000 and spark.conf.get(key) == was
+
+
+def test_whole_sets_are_compared_in_rounds(spark, monkeypatch):
+    texts = near_texts(11, 60, [1, 2, 3], [12, 30])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SETS_SENT", 0.5)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute_components(texts)
+
+
 def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
     texts = near_texts(6, 40, [1, 2], [12, 30])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
